@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colophon.llm import chunking, encoding, groups, lookalike, mixing, overlap, packing, sentences, truncation
@@ -94,9 +94,9 @@ def p5_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_split_shares(spark: SparkSession, sf: str) -> DataFrame:
     counts = p5_splits(spark, sf).groupBy(F.col("split").alias("split_name")).agg(F.count(F.lit(1)).alias("mentions"))
-    total = counts.agg(F.sum("mentions").alias("total"))
-    return table(spark, sf, "split_shares").join(counts, "split_name", "left").join(total).select(
-        "split_name", "target_share", F.coalesce("mentions", F.lit(0)).alias("mentions"), F.round(F.col("mentions") / F.col("total"), 6).alias("reached_share")
+    share = F.round(F.col("mentions") / F.sum("mentions").over(Window.partitionBy()), 6)
+    return table(spark, sf, "split_shares").join(counts, "split_name", "left").select(
+        "split_name", "target_share", F.coalesce("mentions", F.lit(0)).alias("mentions"), share.alias("reached_share")
     )
 
 
