@@ -22,35 +22,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colophon.llm.lookalike import with_canonical
+from colophon.operators.fill import fill_down
 from colophon.plans.runtime import cut_lineage
 
 LEVELS = 2
 #: A graph this small (16 bytes an edge) is merged by one task.
 SMALL_EDGES = 200_000
-#: Sheet rows of a workbook that are filled by one task.
-FILL_BLOCK = 20_000
-
-
-def fill_down(df: DataFrame, sheet: str, row: str, fields: list[str]) -> DataFrame:
-    """Blank cells of ``fields`` get the last non-blank cell above, by sheet and row number.
-
-    Blocks of FILL_BLOCK rows are filled on their own; the last value of the blocks before a block
-    comes from a second window over one row per block, so a huge sheet doesn't end in one task.
-    """
-    value = {f: F.when(F.trim(F.regexp_replace(F.col(f), r"(?U)\s+", " ")) != "", F.col(f)) for f in fields}
-    marked = df.select(*df.columns, *[value[f].alias(f"_v_{f}") for f in fields], F.floor(F.col(row) / FILL_BLOCK).alias("_block"))
-    blocks = marked.groupBy(F.col(sheet).alias("_sheet"), F.col("_block").alias("_at")).agg(
-        *[F.max_by(f"_v_{f}", F.when(F.col(f"_v_{f}").isNotNull(), F.col(row))).alias(f"_b_{f}") for f in fields]
-    )
-    before = Window.partitionBy("_sheet").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select("_sheet", "_at", *[F.last(f"_b_{f}", True).over(before).alias(f"_c_{f}") for f in fields])
-    within = Window.partitionBy(sheet, "_block").orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
-    filled = marked.select("*", *[F.last(f"_v_{f}", True).over(within).alias(f"_f_{f}") for f in fields])
-    # only sheets of more than one block have something to carry
-    carried = carried.where(F.col("_at") > 0)
-    joined = filled.join(carried, (F.col(sheet) == F.col("_sheet")) & (F.col("_block") == F.col("_at")), "left")
-    keep = [c for c in df.columns if c not in fields]
-    return joined.select(*keep, *[F.coalesce(f"_f_{f}", f"_c_{f}").alias(f) for f in fields])
 
 
 def _rank(column: str | Column, turn: int) -> Column:
