@@ -4,8 +4,9 @@ Method: the schema of a file is a tree (root, fields, keys of object fields). Th
 between the trees of consecutive files of a series gives the cheapest script of add, delete, rename
 and retype steps: a rename costs less than delete plus add only as far as the values of the rows
 that both files carry agree. Trees are unordered and two levels deep, so the distance is a
-minimum-cost assignment of the fields that differ. The scripts are compiled into one projection per
-file, and all files are read through them into one table.
+minimum-cost assignment of the fields that differ. The scripts are applied along each series, which
+gives the field of every header of every file, and all files are read through these into one table;
+names (and values, where a name alone doesn't tell) match the fields of different series.
 
 Only headers, counts and sketches of fixed size meet in one task; rows and values are compared in
 joins on (file pair, row).
@@ -283,37 +284,160 @@ def schema_changes(
     return arrow_pass(grouped, rows, "series string, file string, turn int, change_kind string, header_before string, header_after string")
 
 
-def field_lineage(changes: DataFrame, table: DataFrame) -> DataFrame:
-    """(series, file, header, field): the consistent field of each header of each file.
+def _walk(files: list[dict], columns: tuple[str, ...]) -> Iterator[tuple]:
+    """(file, turn, header, local, anchor): the scripts of one series applied file by file.
 
-    Inside a series a field keeps the name it had first. Names that renames connect in any series are one
-    field, named by the header that most rows have; the graph has one node per header name.
+    A field lives on under its header or its new one after a rename. A header that comes back takes up the field
+    that last had it, unless that field lives under another header. ``anchor`` is the first of ``columns`` that the
+    field ever bears and no field of the series bore before.
     """
-    renames = changes.where("change_kind = 'renamed'").groupBy("header_before", "header_after").agg(F.count(F.lit(1)).alias("n")).collect()
-    weight = {r["header"]: r["n"] for r in table.groupBy("header").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before: dict[str, int] = {}
+    latest: dict[str, int] = {}
+    anchors: dict[int, str] = {}
+    count, out = 0, []
+    for turn, f in enumerate(sorted(files, key=lambda f: (f["at"] is not None, f["at"], f["file"])), 1):
+        renamed = {r["header_after"]: r["header_before"] for r in f["renames"] or ()}
+        now = {h: before[h] for h in f["headers"] if h in before}
+        now |= {h: before[renamed[h]] for h in f["headers"] if h not in now and renamed.get(h) in before}
+        for h in sorted(set(f["headers"]) - now.keys()):
+            if h not in latest or latest[h] in now.values():
+                latest[h], count = count, count + 1
+            now[h] = latest[h]
+        for h, local in sorted(now.items()):
+            if h in columns and local not in anchors and h not in anchors.values():
+                anchors[local] = h
+            out.append((f["file"], turn, h, local))
+        latest |= now
+        before = now
+    for file, turn, h, local in out:
+        yield file, turn, h, local, anchors.get(local)
+
+
+def series_fields(changes: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """(series, file, turn, header, local, anchor): the field of each header of each file, numbered inside its series.
+
+    Per series: the headers of its files and the renames, numbers that don't grow with the rows.
+    """
+    renames = changes.where("change_kind = 'renamed'").groupBy("series", "file").agg(
+        F.collect_list(F.struct("header_before", "header_after")).alias("renames")
+    )
+    files = table.groupBy("series", "file").agg(F.unix_micros(F.min("at")).alias("at"), F.collect_set("header").alias("headers"))
+    whole = files.join(renames, ["series", "file"], "left").groupBy("series").agg(
+        F.collect_list(F.struct("file", "at", "headers", "renames")).alias("files")
+    )
+    wanted = tuple(columns)
+
+    def rows(batch: list[dict]) -> Iterator[tuple]:
+        for r in batch:
+            for x in _walk(r["files"], wanted):
+                yield r["series"], *x
+
+    return arrow_pass(whole, rows, "series string, file string, turn int, header string, local int, anchor string")
+
+
+def values_alike(a: dict, b: dict) -> bool:
+    """Whether two fields of different series can be one: values that repeat must be shared, others alike in length."""
+    if not a["n"] or not b["n"]:
+        return True
+    if any(f["n"] >= 2 * f["different"] for f in (a, b)):
+        x, y = ({v for v in f["sketch"] if v is not None} for f in (a, b))
+        return len(x & y) >= 0.25 * min(len(x), len(y))
+    return min(a["length"], b["length"]) >= 0.5 * max(a["length"], b["length"])
+
+
+def name_fields(fields: list[dict], votes: dict[str, dict[str, int]], targets: dict[str, dict], roots: dict[str, str]) -> dict[int, str]:
+    """Consistent name of each local field of a series; two fields that share a file or follow on each other differ.
+
+    A field takes its anchor; else the column that other series give to one of its headers, if the values allow it;
+    else the name that its headers have over all series.
+    """
+    taken: dict[str, list[set[int]]] = {}
+    out: dict[int, str] = {}
+    for f in sorted(fields, key=lambda f: (not f["anchor"], -f["n"], f["local"])):
+        names = list(dict.fromkeys(h["header"] for h in sorted(f["heads"], key=lambda h: (h["turn"], h["header"]))))
+        turns = {h["turn"] for h in f["heads"]}
+        if f["anchor"]:
+            wanted = [f["anchor"]]
+        else:
+            total: dict[str, int] = {}
+            for h in names:
+                for column, n in votes.get(h, {}).items():
+                    total[column] = total.get(column, 0) + n
+            wanted = [c for c in sorted(total, key=lambda c: (-total[c], c)) if values_alike(f, targets[c])]
+            # a column's own name isn't free for another field
+            wanted += [x for x in [*(roots[h] for h in names), *names] if x not in targets]
+        wanted += [f"{names[0]} ({i})" for i in range(2, len(fields) + 3)]
+        near = turns | {t + 1 for t in turns} | {t - 1 for t in turns}
+        out[f["local"]] = next(w for w in wanted if not any(near & other for other in taken.get(w, [])))
+        taken.setdefault(out[f["local"]], []).append(turns)
+    return out
+
+
+def name_roots(borne: list[tuple[str, str, int]], weight: dict[str, int], together: set[tuple[str, str]]) -> dict[str, str]:
+    """Header name -> name over all series: names that one field bore are one, unless a file has both."""
     group = {h: h for h in weight}
 
     def root(h: str) -> str:
-        while group.setdefault(h, h) != h:
+        while group[h] != h:
             h = group[h]
         return h
 
-    together = {
-        (r["a"], r["b"])
-        for r in table.select("file", "header").distinct().alias("x").join(
-            table.select("file", F.col("header").alias("other")).distinct().alias("y"), "file"
-        ).where("header < other").select(F.col("header").alias("a"), F.col("other").alias("b")).distinct().collect()
-    }
     members = {h: {h} for h in group}
-    for r in sorted(renames, key=lambda r: (-r["n"], r["header_before"], r["header_after"])):
-        a, b = root(r["header_before"]), root(r["header_after"])
+    for one, two, _ in sorted(borne, key=lambda r: (-r[2], r[0], r[1])):
+        a, b = root(one), root(two)
         if a == b or any((min(x, y), max(x, y)) in together for x in members[a] for y in members[b]):
             continue
-        keep, lose = sorted((a, b), key=lambda h: (-weight.get(h, 0), h))
+        keep, lose = sorted((a, b), key=lambda h: (-weight[h], h))
         group[lose] = keep
         members[keep] |= members.pop(lose)
-    names = table.sparkSession.createDataFrame([(h, root(h)) for h in sorted(group)], "header string, field string")
-    return table.select("series", "file", "header").distinct().join(F.broadcast(names), "header")
+    return {h: root(h) for h in group}
+
+
+def field_lineage(changes: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """(series, file, header, field): the consistent field of each header of each file.
+
+    The scripts decide inside a series: a field is one, whatever its headers are called elsewhere. Names only match
+    fields of different series. Only statistics of header names reach the driver.
+    """
+    heads = cut_lineage(series_fields(changes, table, columns))
+    values = table.join(heads.select("series", "file", "header", "local", "anchor"), ["series", "file", "header"]).where(F.col("kind").isNotNull())
+    profile = [
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("whole").alias("different"), F.avg(F.length("whole")).alias("length"),
+        F.array(*[F.min(F.when(F.pmod(F.xxhash64("whole"), F.lit(SKETCH)) == i, F.xxhash64("whole"))) for i in range(SKETCH)]).alias("sketch"),
+    ]
+    targets = {r["anchor"]: r.asDict() for r in values.where(F.col("anchor").isNotNull()).groupBy("anchor").agg(*profile).collect()}
+    empty = {"n": 0, "different": 0, "length": 0.0, "sketch": []}
+    targets |= {c: empty for c in columns if c not in targets}
+    names = cut_lineage(heads.select("series", "local", "anchor", "header").distinct())
+    votes: dict[str, dict[str, int]] = {}
+    for r in names.where(F.col("anchor").isNotNull()).groupBy("header", "anchor").agg(F.count(F.lit(1)).alias("n")).collect():
+        votes.setdefault(r["header"], {})[r["anchor"]] = r["n"]
+    free = names.where(F.col("anchor").isNull())
+    borne = free.join(free.withColumnRenamed("header", "other"), ["series", "local"]).where("header < other").groupBy("header", "other").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    together = heads.select("series", "file", "header").join(heads.select("series", "file", F.col("header").alias("other")), ["series", "file"]).where(
+        "header < other"
+    ).select("header", "other").distinct()
+    weight = {r["header"]: r["n"] for r in table.groupBy("header").agg(F.count(F.lit(1)).alias("n")).collect()}
+    roots = name_roots([tuple(r) for r in borne.collect()], weight, {tuple(r) for r in together.collect()})
+    fields = heads.groupBy("series", "local", "anchor").agg(F.collect_list(F.struct("turn", "header")).alias("heads")).join(
+        values.groupBy("series", "local").agg(*profile), ["series", "local"], "left"
+    )
+    whole = fields.groupBy("series").agg(
+        F.collect_list(
+            F.struct("local", "anchor", "heads", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("different", F.lit(0)).alias("different"),
+                     F.coalesce("length", F.lit(0.0)).alias("length"), F.coalesce("sketch", F.array().cast("array<long>")).alias("sketch"))
+        ).alias("fields")
+    )
+
+    def rows(batch: list[dict]) -> Iterator[tuple]:
+        for r in batch:
+            for local, name in name_fields(r["fields"], votes, targets, roots).items():
+                yield r["series"], local, name
+
+    named = arrow_pass(whole, rows, "series string, local int, field string")
+    return heads.join(named, ["series", "local"]).select("series", "file", "header", "field")
 
 
 def consistent_table(
@@ -322,8 +446,8 @@ def consistent_table(
 ) -> DataFrame:
     """All rows of all files in one table: series_id, file_id, row_no, one string column per name of ``columns``, other_fields (JSON)."""
     table = cut_lineage(cells(dumps, series, file, at, row, payload))
-    lineage = field_lineage(schema_changes(dumps, series, file, at, row, payload, table), table)
-    mapped = table.join(lineage.select("file", "header", "field"), ["file", "header"])
+    lineage = field_lineage(schema_changes(dumps, series, file, at, row, payload, table), table, columns)
+    mapped = table.join(lineage, ["series", "file", "header"])
     pick = {c: F.max(F.when(F.col("field") == c, F.col("value"))).alias(re.sub(r"\W+", "_", c)) for c in columns}
     rest = F.to_json(
         F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("field").isin(columns) & F.col("value").isNotNull(), F.struct("field", "value")))))
