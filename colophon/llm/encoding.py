@@ -122,8 +122,6 @@ def decode_double(text: str, codec: str = "gbk") -> tuple[str, list[tuple[int, i
         # an incomplete last character is only taken where the sign of lost bytes follows
         if not fits or not new or new.endswith("\ufffd") and not lost:
             continue
-        if sum(map(_is_han, m.group())) >= 3 and any(_is_han(c) for c in new) and not lost:
-            continue
         if not _plausible(text, start, end, new):
             continue
         stop = end + 1 if lost and new.endswith("\ufffd") else end
@@ -133,10 +131,6 @@ def decode_double(text: str, codec: str = "gbk") -> tuple[str, list[tuple[int, i
     return "".join(out) + text[done:], parts
 
 
-def _is_han(ch: str) -> bool:
-    return "\u3400" <= ch <= "\u9fff"
-
-
 class Repairer:
     """Candidate chains and their description lengths."""
 

@@ -1,0 +1,16 @@
+from colophon.llm.encoding import Repairer
+
+CHINESE = "本文研究了土壤湿度的测定方法，并与已有的结果进行了比较。这种方法适用于大面积的观测。图中给出了各站点的数据。"
+
+
+def test_whole_east_asian_phrase_read_as_gbk_is_restored():
+    repairer = Repairer({"zh": CHINESE})
+    for phrase in ("方法", "土壤湿度"):
+        read = f"As shown by {phrase.encode().decode('gbk')} in the study"
+        assert repairer.repair(read) == (True, f"As shown by {phrase} in the study", "gbk", True)
+
+
+def test_correct_east_asian_text_is_left_alone():
+    repairer = Repairer({"zh": CHINESE})
+    for text in (CHINESE, "土壤湿度", "关于方法的研究 in the study", "土壌水分の測定方法"):
+        assert repairer.repair(text) == (False, text, "", True)
