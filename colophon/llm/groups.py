@@ -3,8 +3,8 @@
 Method: frontier breadth-first components. The adjacency lists are hash-partitioned; the nodes
 whose hash is the least among their neighbours are seeds and are expanded concurrently, LEVELS
 steps a round; where two seeds meet, their labels become an edge of a smaller graph, on which the
-next round works. A graph of at most SMALL_EDGES edges is finished by one task. Components then go
-to the splits in the order of their hash.
+next round works. The input always takes one such round; a graph of seeds of at most SMALL_EDGES edges
+is finished by one task. Components then go to the splits in the order of their hash.
 
 Nothing but counts and sums of a fixed number of buckets reaches the driver. The output of each
 round is checkpointed in the shared folder.
@@ -26,7 +26,7 @@ from colophon.operators.fill import fill_down
 from colophon.plans.runtime import cut_lineage
 
 LEVELS = 2
-#: A graph this small (16 bytes an edge) is merged by one task.
+#: A graph of colliding seed labels this small (16 bytes an edge) is merged by one task.
 SMALL_EDGES = 200_000
 
 
@@ -92,7 +92,7 @@ def components(edges: DataFrame) -> DataFrame:
     links = pairs.where(F.col("a") != F.col("b"))
     turn = 0
     while (n := links.count()) > 0:
-        small = n <= SMALL_EDGES
+        small = turn > 0 and n <= SMALL_EDGES
         step = cut_lineage(_merge_small(links) if small else _expand(links, turn))
         moved = step.select(F.col("node").alias("label"), F.col("label").alias("to"))
         mapping = mapping.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))

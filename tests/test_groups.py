@@ -1,0 +1,18 @@
+from colophon.llm import groups
+
+
+def test_small_input_is_searched_from_seeds(spark, monkeypatch):
+    # two paths, a star and a single node
+    pairs = [(i, i + 1) for i in range(1, 40)] + [(i, i + 1) for i in range(101, 109)] + [(200, i) for i in range(201, 230)] + [(300, 300)]
+    calls = []
+    expand, merge = groups._expand, groups._merge_small
+    monkeypatch.setattr(groups, "_expand", lambda edges, turn: calls.append(("expand", turn)) or expand(edges, turn))
+    monkeypatch.setattr(groups, "_merge_small", lambda edges: calls.append(("merge", edges.count())) or merge(edges))
+    found = groups.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert calls[0] == ("expand", 0)
+    assert all(n < len(pairs) for kind, n in calls[1:] if kind == "merge")
+    parts: dict[int, set[int]] = {}
+    for r in found:
+        parts.setdefault(r["label"], set()).add(r["node"])
+    expected = [set(range(1, 41)), set(range(101, 110)), set(range(200, 230)), {300}]
+    assert sorted(map(sorted, parts.values())) == sorted(map(sorted, expected))
