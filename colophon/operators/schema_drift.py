@@ -11,8 +11,9 @@ names (and values, where a name alone doesn't tell) match the fields of differen
 Only headers, counts and sketches of fixed size meet in one task; rows and values are compared in
 joins on (file pair, row).
 
-Defined cases: NULL or invalid JSON and JSON that isn't an object have no fields; rows that arrive
-twice count once; a header whose values are all null has no kind and is never retyped; headers
+Defined cases: NULL or invalid JSON and JSON that isn't an object have no fields, but their rows are in
+the table; rows that arrive twice count once (rows without a number if their payloads are equal); rows
+without a series or file belong to no file; a file of two series is one file in each; a header whose values are all null has no kind and is never retyped; headers
 that are equal after normalisation are one field; ties between kinds keep the kind of before.
 """
 
@@ -70,15 +71,21 @@ def signature(text: str) -> str:
     return TRUTH.get(low, low)
 
 
+def sheet_rows(dumps: DataFrame, series: str, file: str, at: str, row: str, payload: str) -> DataFrame:
+    """(series, file, at, row, place, payload): ``place`` names a row in its file, by its number or else by its payload."""
+    number = F.col(row).cast("long")
+    return dumps.select(
+        F.col(series).alias("series"), F.col(file).alias("file"), F.col(at).cast("timestamp").alias("at"), number.alias("row"),
+        F.coalesce(number.cast("string"), F.concat(F.lit("?"), F.md5(F.coalesce(payload, F.lit(""))))).alias("place"), F.col(payload).alias("payload"),
+    ).where(F.col("series").isNotNull() & F.col("file").isNotNull())
+
+
 def cells(dumps: DataFrame, series: str, file: str, at: str, row: str, payload: str) -> DataFrame:
-    """One row per cell: series, file, at, row, header, kind, keys, whole, main, digits, value.
+    """One row per cell: series, file, at, row, place, header, kind, keys, whole, main, digits, value.
 
     ``whole``, ``main`` and ``digits`` are signatures of all leaves, of the longest leaf and of the digits.
     """
-    source = dumps.select(
-        F.col(series).alias("series"), F.col(file).alias("file"), F.col(at).cast("timestamp").alias("at"),
-        F.col(row).cast("long").alias("row"), F.col(payload).alias("payload"),
-    ).where(F.col("series").isNotNull() & F.col("file").isNotNull())
+    source = sheet_rows(dumps, series, file, at, row, payload)
 
     def rows(batch: list[dict]) -> Iterator[tuple]:
         for r in batch:
@@ -100,12 +107,12 @@ def cells(dumps: DataFrame, series: str, file: str, at: str, row: str, payload:
                 keys = ",".join(sorted(map(header_name, value))) if isinstance(value, dict) else ""
                 text = None if value is None else value["text"] if isinstance(value, dict) and isinstance(value.get("text"), str) else " ".join(parts)
                 digits = "".join(c for c in whole if c.isdigit())
-                yield r["series"], r["file"], r["at"], r["row"], name, json_kind(value), keys, whole, main, digits, text
+                yield r["series"], r["file"], r["at"], r["row"], r["place"], name, json_kind(value), keys, whole, main, digits, text
 
     schema = (
-        "series string, file string, at timestamp, row long, header string, kind string, keys string, whole string, main string, digits string, value string"
+        "series string, file string, at timestamp, row long, place string, header string, kind string, keys string, whole string, main string, digits string, value string"
     )
-    return arrow_pass(source, rows, schema).dropDuplicates(["file", "row", "header"])
+    return arrow_pass(source, rows, schema).dropDuplicates(["series", "file", "place", "header"])
 
 
 def field_profiles(table: DataFrame) -> DataFrame:
@@ -142,14 +149,14 @@ def _agrees() -> Column:
 
 
 def rename_evidence(table: DataFrame, pairs: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
-    """(after, header_before, header_after, both, same): agreement of gone and new fields over shared rows."""
-    a = gone.join(table.withColumnRenamed("file", "before"), ["before", "header"]).where(F.col("kind").isNotNull()).select(
-        "after", "row", F.col("header").alias("header_before"), *[F.col(c).alias(f"{c}_a") for c in ("kind", "whole", "main", "digits")]
+    """(series, after, header_before, header_after, both, same): agreement of gone and new fields over shared rows."""
+    a = gone.join(table.withColumnRenamed("file", "before"), ["series", "before", "header"]).where(F.col("kind").isNotNull()).select(
+        "series", "after", "row", F.col("header").alias("header_before"), *[F.col(c).alias(f"{c}_a") for c in ("kind", "whole", "main", "digits")]
     )
-    b = new.join(table.withColumnRenamed("file", "after"), ["after", "header"]).where(F.col("kind").isNotNull()).select(
-        "after", "row", F.col("header").alias("header_after"), *[F.col(c).alias(f"{c}_b") for c in ("kind", "whole", "main", "digits")]
+    b = new.join(table.withColumnRenamed("file", "after"), ["series", "after", "header"]).where(F.col("kind").isNotNull()).select(
+        "series", "after", "row", F.col("header").alias("header_after"), *[F.col(c).alias(f"{c}_b") for c in ("kind", "whole", "main", "digits")]
     )
-    return a.join(b, ["after", "row"]).groupBy("after", "header_before", "header_after").agg(
+    return a.join(b, ["series", "after", "row"]).groupBy("series", "after", "header_before", "header_after").agg(
         F.count(F.lit(1)).alias("both"), F.count_if(_agrees()).alias("same"), F.max(F.length("whole_a")).alias("longest")
     )
 
@@ -261,17 +268,19 @@ def schema_changes(
     table = cut_lineage(cells(dumps, series, file, at, row, payload)) if table is None else table
     pairs, profiles = cut_lineage(file_pairs(table)), cut_lineage(field_profiles(table))
     fields = F.struct("header", "kinds", "keys", "length", "sketch")
-    old = pairs.join(profiles.drop("series"), pairs["before"] == profiles["file"]).select("before", "after", "header", fields.alias("old"))
-    new = pairs.join(profiles.drop("series"), pairs["after"] == profiles["file"]).select("after", "header", fields.alias("new"))
-    both = cut_lineage(old.join(new, ["after", "header"], "full").join(pairs.select("after", F.col("before").alias("prior"), "turn", "series"), "after"))
-    gone = both.where(F.col("new").isNull()).select(F.col("prior").alias("before"), "after", "header")
-    come = both.where(F.col("old").isNull()).select("after", "header")
-    evidence = rename_evidence(table, pairs, gone, come).groupBy("after").agg(
+    old = pairs.join(profiles.withColumnRenamed("file", "before"), ["series", "before"]).select("series", "after", "header", fields.alias("old"))
+    new = pairs.join(profiles.withColumnRenamed("file", "after"), ["series", "after"]).select("series", "after", "header", fields.alias("new"))
+    both = cut_lineage(
+        old.join(new, ["series", "after", "header"], "full").join(pairs.select("series", "after", F.col("before").alias("prior"), "turn"), ["series", "after"])
+    )
+    gone = both.where(F.col("new").isNull()).select("series", F.col("prior").alias("before"), "after", "header")
+    come = both.where(F.col("old").isNull()).select("series", "after", "header")
+    evidence = rename_evidence(table, pairs, gone, come).groupBy("series", "after").agg(
         F.collect_list(F.struct("header_before", "header_after", "both", "same", "longest")).alias("evidence")
     )
     # per file pair: its headers only, a number that doesn't grow with the rows
     grouped = both.groupBy("series", "after", "turn").agg(F.collect_list("old").alias("old"), F.collect_list("new").alias("new")).join(
-        evidence, "after", "left"
+        evidence, ["series", "after"], "left"
     )
 
     def rows(batch: list[dict]) -> Iterator[tuple]:
@@ -452,6 +461,10 @@ def consistent_table(
     rest = F.to_json(
         F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("field").isin(columns) & F.col("value").isNotNull(), F.struct("field", "value")))))
     )
-    return mapped.groupBy(F.col("series").alias("series_id"), F.col("file").alias("file_id"), F.col("row").alias("row_no")).agg(
-        *pick.values(), rest.alias("other_fields")
+    filled = mapped.groupBy("series", "file", "place").agg(*pick.values(), rest.alias("other_fields"))
+    # rows without any cell have no part in ``filled``
+    rows = sheet_rows(dumps, series, file, at, row, payload).groupBy("series", "file", "place").agg(F.max("row").alias("row_no"))
+    return rows.join(filled, ["series", "file", "place"], "left").select(
+        F.col("series").alias("series_id"), F.col("file").alias("file_id"), "row_no", *[re.sub(r"\W+", "_", c) for c in columns],
+        F.coalesce("other_fields", F.lit("{}")).alias("other_fields"),
     )

@@ -34,3 +34,14 @@ def test_unrelated_header_of_another_series_stays_out_of_the_column(spark):
     assert {r["lable"] for r in table if r["series_id"] in "AC"} == {"G1-1", "G2-1"}
     assert {r["lable"] for r in table if r["series_id"] == "B"} == {None}
     assert {json.loads(r["other_fields"])["label"] for r in table if r["series_id"] == "B"} == {"red", "blue"}
+
+
+def test_no_row_is_lost(spark):
+    a = [(1, {"lable": "G1-1"}), (2, None), (3, "{broken"), (4, "[1]"), (5, {}), (None, {"lable": "G1-2"}), (None, {"lable": "G1-3"})]
+    b = [(1, {"lable": "G2-1"})]
+    table = consistent_table(dumps(spark, [("A", "f", 1, a + a[:2]), ("B", "f", 1, b)]), COLUMNS).collect()
+    found = sorted((r["series_id"], r["row_no"] or 0, r["lable"] or "") for r in table)
+    assert found == [
+        ("A", 0, "G1-2"), ("A", 0, "G1-3"), ("A", 1, "G1-1"), ("A", 2, ""), ("A", 3, ""), ("A", 4, ""), ("A", 5, ""), ("B", 1, "G2-1"),
+    ]
+    assert {r["other_fields"] for r in table} == {"{}"}
