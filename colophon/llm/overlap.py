@@ -1,7 +1,7 @@
 """Problem 3: same or near-same records across splits.
 
-Method: weighted cosine join. Each distinct text is a vector of weighted terms (word pairs, tf-idf);
-inverted lists hold, for each text, its rarest terms up to the point where the norm of the residual
+Method: weighted cosine join. Each distinct text is a vector of weighted terms (word pairs, weighted
+by the root of their count, so that the norm is the number of pairs); inverted lists hold, for each text, its rarest terms up to the point where the norm of the residual
 is under the threshold (a pair at or above the threshold must meet there); partial products plus
 the bound from residual norms and largest weights prune the pairs; exact products decide, and a
 word-level comparison confirms "at most about one word in eight".
@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 
 from colophon.plans.runtime import arrow_pass, cut_lineage
 
-#: Cosine of word-pair vectors from which pairs are compared word by word. One changed word in eight
-#: touches two pairs in eight, and rare ones, so the threshold lies well under 0.75.
-THRESHOLD = 0.45
 #: Norm under which the rest of a vector isn't indexed.
 RESIDUAL = 0.3
 #: Greatest share of differing words: "about one word in eight".
 WORD_SHARE = 0.2
+#: Cosine of word-pair vectors from which pairs are compared word by word. A changed word touches two word pairs, so
+#: texts of up to n words that differ in k have at least n + 1 - 2k of n + 1 pairs in common: no pair that ``alike``
+#: takes lies under this, whatever the number of texts. (Weights by rarity would let it fall as the texts grow in number.)
+THRESHOLD = 1 - 2 * WORD_SHARE - 1e-6
 
 
 def comparable(text: Column) -> Column:
@@ -91,10 +92,7 @@ def weighted_vectors(texts: DataFrame) -> DataFrame:
     )
     counts = pairs.groupBy("tid", "a", "b", "term").agg(F.count(F.lit(1)).alias("tf"))
     frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = texts.count()
-    raw = counts.join(frequency, "term").select(
-        "tid", "a", "b", "term", "df", ((1 + F.log("tf")) * F.log(1 + F.lit(float(total)) / F.col("df"))).alias("w")
-    )
+    raw = counts.join(frequency, "term").select("tid", "a", "b", "term", "df", F.sqrt("tf").alias("w"))
     norm = Window.partitionBy("tid")
     return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm)))
 

@@ -1,0 +1,17 @@
+from pyspark.sql import functions as F
+
+from colophon.llm.overlap import cross_split_pairs
+
+
+def test_pair_within_one_word_in_eight_is_found_among_many_texts(spark):
+    # 24 words of a template that all texts share; the pair differs in 3 of them, by words of no other text
+    words = [f"word{i}" for i in range(24)]
+    changed = [f"rare{i}" if i in (5, 12, 19) else w for i, w in enumerate(words)]
+    other = [f"word{i}" if i % 2 else "x{n}" + f"y{i}" for i in range(24)]
+    ids = spark.range(1, 3001).select(
+        F.col("id").alias("rid"), F.lit("train").alias("split"),
+        F.concat(F.lit(" ".join(words)), F.lit(" "), F.concat_ws(" ", *[F.concat(F.lit(f"tail{i}n"), F.col("id")) for i in range(24)])).alias("text"),
+    )
+    pair = spark.createDataFrame([(100001, "train", " ".join(words)), (100002, "test", " ".join(changed)), (100003, "test", " ".join(other))], ids.schema)
+    found = cross_split_pairs(ids.unionAll(pair), "rid", "text", F.col("split") == "train").select("key_left", "key_right", "kind").collect()
+    assert [tuple(r) for r in found] == [(100001, 100002, "near")]
