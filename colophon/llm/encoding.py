@@ -218,9 +218,10 @@ def suspicious(column: Column) -> Column:
 def language_samples(documents: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, str]:
     """Bounded sample of texts per language, for the dictionaries.
 
-    At most DICTIONARY_TEXTS texts and DICTIONARY_CHARS characters for each of LANGUAGES, chosen by the
-    hash of the text. A count by language (no text is shuffled) sets the hash threshold; only texts under
-    it are sent to the driver.
+    For each of LANGUAGES about twice DICTIONARY_TEXTS texts are chosen by the hash of the text. Of these the
+    first DICTIONARY_TEXTS in alphabetical order are taken, of each only the first DICTIONARY_CHARS // 8
+    characters, and DICTIONARY_CHARS characters in all. Values to be repaired are never cut. A count
+    by language (no text is shuffled) sets the hash threshold; only texts under it are sent to the driver.
     """
     code = F.lower(F.substring(F.col(lang), 1, 2))
     usable = documents.where(code.isin(*LANGUAGES) & (F.length(text) >= 100)).select(
