@@ -1,16 +1,28 @@
 """Problem 3: same or near-same records across splits.
 
-Method: weighted cosine join. Each distinct text is a vector of weighted terms (word pairs, weighted
-by the root of their count, so that the norm is the number of pairs); inverted lists hold, for each text, its rarest terms up to the point where the norm of the residual
-is under the threshold (a pair at or above the threshold must meet there); partial products plus
-the bound from residual norms and largest weights prune the pairs; exact products decide, and a
-word-level comparison confirms "at most about one word in eight".
+Method: weighted cosine join between the splits. Each distinct text is a unit vector of word triples
+(the i-th occurrence of a triple is a term of its own, so all weights of a text of N terms are
+1 / sqrt(N)). All vectors are ordered alike: terms that the other side never uses first, then from
+the rarest on.
+
+1. Largest weights: a term is worth at most its weight times the largest weight it has on the other
+   side, which is 0 for terms of one side. A text whose other terms can't add up to the least dot
+   product of an alike pair takes no part; this is repeated, as each such text takes terms with it.
+2. Residual norms: inverted lists hold a text's first terms only, up to the point where the rest of
+   the vector could give less than that product less DEPTH terms: an alike pair has at least DEPTH
+   terms in common inside both lists.
+3. Exact dot products for the pairs that are left, then the count of differing words.
+
+No step loses a pair that ``alike`` takes: a changed word touches GRAM triples and moves the others
+by no more places than words are changed, so the least dot product, the range of lengths and the
+range of places follow from WORD_SHARE, whatever the number of texts.
 
 Equal texts are collapsed before the join and expanded after it, so a text that holds a third of
-all rows costs one vector. No cap, no sample: each pair at or above the threshold is found.
+all rows costs one vector. No cap, no sample. Long lists of a term are split by the adaptive skew join.
 
-Defined cases: NULL texts and texts without letters or digits are in no pair; a record isn't paired
-with a record of its own side; repeated rows give one pair.
+Defined cases: NULL texts and texts without letters or digits are in no pair; texts of fewer than
+four words are paired only if equal; a record isn't paired with a record of its own side; repeated
+rows give one pair. A record with several user turns has several texts.
 """
 
 from __future__ import annotations
@@ -24,14 +36,15 @@ from pyspark.sql import functions as F
 
 from colophon.plans.runtime import arrow_pass, cut_lineage
 
-#: Norm under which the rest of a vector isn't indexed.
-RESIDUAL = 0.3
-#: Greatest share of differing words: "about one word in eight".
-WORD_SHARE = 0.2
-#: Cosine of word-pair vectors from which pairs are compared word by word. A changed word touches two word pairs, so
-#: texts of up to n words that differ in k have at least n + 1 - 2k of n + 1 pairs in common: no pair that ``alike``
-#: takes lies under this, whatever the number of texts. (Weights by rarity would let it fall as the texts grow in number.)
-THRESHOLD = 1 - 2 * WORD_SHARE - 1e-6
+#: Greatest share of differing words: "about one word in eight" takes in one word in seven, as a word split in
+#: two or a mark counted as a word moves the share of a true case.
+WORD_SHARE = 1 / 7
+#: Words of a term.
+GRAM = 3
+#: Terms that a pair must have in common inside the inverted lists.
+DEPTH = 2
+#: Rounds of pruning by largest weights.
+ROUNDS = 2
 
 
 def comparable(text: Column) -> Column:
@@ -74,98 +87,111 @@ def word_difference(a: list[str], b: list[str], most: int) -> int:
     return min(previous.get(len(b), far), far)
 
 
+def most_changes(words: int, share: float = WORD_SHARE) -> int:
+    """Words that may differ in texts of at most so many words: one at least, none under four words."""
+    return max(1, int(share * words)) if words >= 4 else 0
+
+
 def alike(a: str, b: str, share: float = WORD_SHARE) -> bool:
     """Whether two comparable texts differ in at most about ``share`` of their words."""
     x, y = a.split(), b.split()
-    most = max(1, int(share * max(len(x), len(y)))) if min(len(x), len(y)) >= 4 else 0
+    most = min(most_changes(max(len(x), len(y)), share), most_changes(min(len(x), len(y)), 1.0))
     return word_difference(x, y, most) <= most
 
 
-def weighted_vectors(texts: DataFrame) -> DataFrame:
-    """(tid, a, b, term, df, w): unit vectors of hashed word pairs; the ends of a text count as words.
+def cosine(a: str, b: str) -> float:
+    """Dot product of the unit vectors of two comparable texts."""
+    x, y = (Counter(zip(w, w[1:], w[2:], strict=False)) for w in (["^", *t.split(), "$"] for t in (a, b)))
+    return (x & y).total() / (x.total() * y.total()) ** 0.5
+
+
+def _changes(words: Column, share: float) -> Column:
+    return F.greatest(F.lit(1), F.floor(F.lit(share) * words + 1e-9).cast("int"))
+
 
-    ``a`` and ``b`` tell the sides on which the text occurs.
+def _least_common(words: Column, share: float) -> Column:
+    """Terms that a text of so many words has in common with any alike text that is as long or longer."""
+    terms = words + (3 - GRAM)
+    return F.greatest(F.lit(1), F.ceil(terms - GRAM * F.greatest(F.lit(1.0), F.lit(share) * words) - 1e-9).cast("int"))
+
+
+def term_lists(texts: DataFrame) -> DataFrame:
+    """(tid, a, b, n, term, lo, hi): terms of texts (tid, norm, a, b) of four or more words.
+
+    ``n`` counts words, ``lo`` and ``hi`` are the first and last place of the word triple in the text.
     """
     words = F.split(F.concat(F.lit("^ "), F.col("norm"), F.lit(" $")), " ")
-    pairs = texts.select("tid", "a", "b", words.alias("v")).select(
-        "tid", "a", "b", F.explode(F.expr("transform(sequence(0, size(v) - 2), i -> xxhash64(v[i], v[i + 1]))")).alias("term")
-    )
-    counts = pairs.groupBy("tid", "a", "b", "term").agg(F.count(F.lit(1)).alias("tf"))
-    frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = counts.join(frequency, "term").select("tid", "a", "b", "term", "df", F.sqrt("tf").alias("w"))
-    norm = Window.partitionBy("tid")
-    return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm)))
-
-
-def cosine_pairs(texts: DataFrame, threshold: float, residual: float = RESIDUAL) -> DataFrame:
-    """(ta, tb, cosine): pairs of distinct ``texts`` (tid, norm, a, b) with a on one side, b on the other, at or above a threshold.
-
-    1. Largest weights: a term is worth at most w times the largest weight it has on the other side. Terms
-       without partner go; so do texts whose terms can't add up to the threshold.
-    2. Residual norms: terms are indexed from the rarest on, in one order for all texts, while the norm of
-       the rest is at least ``residual``. What two texts share outside both indexes is at most the larger
-       of their rests, so the products over the indexes must reach the threshold less that.
-    3. Exact products over all terms for the pairs that are left.
-    """
-    vectors = cut_lineage(weighted_vectors(texts))
-    top = vectors.groupBy("term").agg(F.max(F.when(F.col("a"), F.col("w"))).alias("top_a"), F.max(F.when(F.col("b"), F.col("w"))).alias("top_b"))
-    reach = F.greatest(F.when(F.col("a"), F.col("top_b")), F.when(F.col("b"), F.col("top_a")))
-    whole = Window.partitionBy("tid")
-    ahead = whole.orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    square = F.col("w") * F.col("w")
-    useful = (
-        vectors.join(top, "term").withColumn("reach", reach).where(F.col("reach").isNotNull())
-        .withColumn("most", F.sum(F.col("w") * F.col("reach")).over(whole))
-        .withColumn("rest", F.sqrt(F.sum(square).over(ahead)))
-        .where((F.col("most") >= threshold) & (F.col("rest") >= residual))
-        .withColumn("inside", F.sum(square).over(whole))
+    grams = F.expr(f"transform(sequence(0, size(v) - {GRAM}), i -> xxhash64({', '.join(f'v[i + {k}]' for k in range(GRAM))}))")
+    listed = texts.select("tid", "a", "b", words.alias("v")).where(F.size("v") >= 6).select(
+        "tid", "a", "b", (F.size("v") - 2).alias("n"), F.posexplode(grams).alias("at", "g")
     )
-    left_out = useful.select("tid", "a", "b", "term", "w", F.sqrt(F.pow(F.max("rest").over(whole), 2) - F.col("inside")).alias("out"))
-    left_out = left_out.withColumn("out", F.coalesce(F.nanvl("out", F.lit(0.0)), F.lit(0.0)))
-    x = left_out.where("a").select("term", F.col("tid").alias("ta"), F.col("w").alias("wa"), F.col("out").alias("ra"))
-    y = left_out.where("b").select("term", F.col("tid").alias("tb"), F.col("w").alias("wb"), F.col("out").alias("rb"))
-    met = (
-        x.join(y, "term").where(F.col("ta") != F.col("tb")).groupBy("ta", "tb")
-        .agg(F.sum(F.col("wa") * F.col("wb")).alias("part"), F.max(F.greatest("ra", "rb")).alias("rest"))
+    per = listed.groupBy("tid", "a", "b", "n", "g").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    one = per.where("tf = 1").select("tid", "a", "b", "n", F.col("g").alias("term"), "lo", "hi")
+    more = per.where("tf > 1").select(
+        "tid", "a", "b", "n", F.explode(F.expr("transform(sequence(1, tf), k -> xxhash64(g, k))")).alias("term"), "lo", "hi"
     )
-    possible = cut_lineage(met.where(F.col("part") + F.col("rest") >= threshold - 1e-9).select("ta", "tb"))
-    full = lambda t, w: vectors.select(F.col("tid").alias(t), "term", F.col("w").alias(w))
-    return (
-        possible.join(full("ta", "wa"), "ta").join(full("tb", "wb"), ["tb", "term"])
-        .groupBy("ta", "tb").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= threshold)
+    return one.unionAll(more)
+
+
+def _shared(terms: DataFrame, share: float) -> DataFrame:
+    """Terms that both sides use, of the texts that have enough of them; adds ``df`` and ``own``, their number in the text."""
+    used = terms.groupBy("term").agg(
+        F.max("a").alias("on_a"), F.max("b").alias("on_b"), F.count(F.lit(1)).alias("df")
+    ).where("on_a and on_b").select("term", "df")
+    met = terms.join(used, "term")
+    enough = met.groupBy("tid").agg(F.count(F.lit(1)).alias("own"), F.max("n").alias("words"))
+    enough = enough.where(F.col("own") >= _least_common(F.col("words"), share)).select("tid", "own")
+    return met.join(enough, "tid")
+
+
+def near_candidates(texts: DataFrame, share: float = WORD_SHARE) -> DataFrame:
+    """(ta, tb): pairs of distinct ``texts`` (tid, norm, a, b), a on one side, b on the other, that may be alike."""
+    terms = cut_lineage(term_lists(texts))
+    for _ in range(ROUNDS):
+        met = cut_lineage(_shared(terms, share))
+        terms = met.select("tid", "a", "b", "n", "term", "lo", "hi")
+    order = Window.partitionBy("tid").orderBy("df", "term")
+    # terms of one side stand before the shared ones, so these fill what is left of the list
+    size = F.col("own") - _least_common(F.col("n"), share) + DEPTH
+    lists = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
+    x = lists.where("a").select("term", F.col("tid").alias("ta"), F.col("n").alias("na"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
+    y = lists.where("b").select("term", F.col("tid").alias("tb"), F.col("n").alias("nb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
+    k = _changes(F.greatest("na", "nb"), share)
+    fits = (
+        (F.col("ta") != F.col("tb")) & (F.abs(F.col("na") - F.col("nb")) <= k) & (F.col("la") - k <= F.col("hb")) & (F.col("lb") - k <= F.col("ha"))
     )
+    met_pairs = x.join(y, "term").where(fits).groupBy("ta", "tb").agg(F.count(F.lit(1)).alias("common"), F.max("na").alias("na"))
+    return met_pairs.where(F.col("common") >= F.least(F.lit(DEPTH), _least_common(F.col("na"), share))).select("ta", "tb")
 
 
-def cross_split_pairs(records: DataFrame, key: str, text: str, side: Column, threshold: float = THRESHOLD) -> DataFrame:
+def cross_split_pairs(records: DataFrame, key: str, text: str, side: Column, share: float = WORD_SHARE) -> DataFrame:
     """(key_left, key_right, kind, cosine): pairs of a record with ``side`` true and one with ``side`` false.
 
-    ``kind`` is 'exact' where the comparable texts are equal, else 'near'.
+    ``kind`` is 'exact' where the comparable texts are equal, else 'near'. Texts are told apart by 128 bits of hash.
     """
     base = records.select(F.col(key).cast("long").alias("rid"), side.alias("train"), comparable(F.col(text)).alias("norm")).where(
-        F.col("norm").isNotNull() & (F.col("norm") != "") & F.col("train").isNotNull()
+        F.col("norm").isNotNull() & (F.col("norm") != "") & F.col("train").isNotNull() & F.col("rid").isNotNull()
     )
     base = base.select("rid", "train", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.reverse("norm")).alias("h2"))
-    # a text is named by the least record that holds it: exact, whatever the hashes do
-    texts = base.groupBy("h1", "h2", "norm").agg(
-        F.min(F.struct("rid", "train")).alias("m"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_other")
-    ).select("h1", "h2", "norm", (F.col("m.rid") * 2 + F.col("m.train").cast("int")).alias("tid"), "in_train", "in_other")
-    texts = cut_lineage(texts)
-    members = base.select("rid", "train", "h1", "h2", "norm").distinct().join(texts.select("h1", "h2", "norm", "tid"), ["h1", "h2", "norm"]).select(
-        "rid", "train", "tid"
+    texts = base.groupBy("h1", "h2").agg(
+        F.min(F.struct("rid", "train", "norm")).alias("m"), F.max("train").alias("a"), F.max(~F.col("train")).alias("b")
     )
+    # the least record that holds a text names it; its first text does, if it has several
+    texts = cut_lineage(texts.select("h1", "h2", F.xxhash64("h1", "h2", "m.rid").alias("tid"), F.col("m.norm").alias("norm"), "a", "b"))
+    members = base.select("rid", "train", "h1", "h2").distinct().join(texts.select("h1", "h2", "tid"), ["h1", "h2"]).select("rid", "train", "tid")
     members = cut_lineage(members)
-    near = cosine_pairs(texts.select("tid", "norm", F.col("in_train").alias("a"), F.col("in_other").alias("b")), threshold)
+    near = near_candidates(texts.select("tid", "norm", "a", "b"), share)
     with_text = near.join(texts.select(F.col("tid").alias("ta"), F.col("norm").alias("na")), "ta").join(
         texts.select(F.col("tid").alias("tb"), F.col("norm").alias("nb")), "tb"
     )
 
     def confirm(batch: list[dict]) -> Iterator[tuple]:
         for r in batch:
-            if alike(r["na"], r["nb"]):
-                yield r["ta"], r["tb"], "near", r["cosine"]
+            if alike(r["na"], r["nb"], share):
+                yield r["ta"], r["tb"], "near", cosine(r["na"], r["nb"])
 
     linked = arrow_pass(with_text, confirm, "ta long, tb long, kind string, cosine double")
-    same = texts.where(F.col("in_train") & F.col("in_other")).select(
+    same = texts.where(F.col("a") & F.col("b")).select(
         F.col("tid").alias("ta"), F.col("tid").alias("tb"), F.lit("exact").alias("kind"), F.lit(1.0).alias("cosine")
     )
     links = linked.unionAll(same)
@@ -177,7 +203,7 @@ def cross_split_pairs(records: DataFrame, key: str, text: str, side: Column, thr
 _CONTENT = r"(?s)Citation Content:\s*(.*)$"
 
 
-def user_content(messages: str = "messages") -> Column:
-    """Citation content of a chat record: what follows 'Citation Content:' in its first user turn; NULL without one."""
-    turn = F.get(F.filter(F.col(messages), lambda m: F.lower(F.trim(m["role"])) == "user"), F.lit(0))["content"]
-    return F.when(turn.contains("Citation Content:"), F.regexp_extract(turn, _CONTENT, 1))
+def user_contents(messages: str = "messages") -> Column:
+    """Citation contents of a chat record: what follows 'Citation Content:' in each user turn; an empty array without one."""
+    turns = F.filter(F.col(messages), lambda m: (F.lower(F.trim(m["role"])) == "user") & m["content"].contains("Citation Content:"))
+    return F.coalesce(F.transform(turns, lambda m: F.regexp_extract(m["content"], _CONTENT, 1)), F.array().cast("array<string>"))

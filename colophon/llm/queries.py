@@ -42,7 +42,7 @@ def p1_journal_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _split_records(spark: SparkSession, sf: str) -> DataFrame:
-    chat = table(spark, sf, "chat_records").select("record_id", "split", "source", overlap.user_content().alias("content"))
+    chat = table(spark, sf, "chat_records").select("record_id", "split", "source", F.explode(overlap.user_contents()).alias("content"))
     test = table(spark, sf, "test_set").select("record_id", F.lit("test_set").alias("split"), "source", F.col("citation_content").alias("content"))
     return chat.unionAll(test)
 
@@ -58,10 +58,12 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_overlap_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Per split and source of the records outside train: records, overlapping records, exact and near pairs."""
-    pairs = _split_pairs(spark, sf).groupBy(F.col("key_right").alias("record_id")).agg(
+    pairs = _split_pairs(spark, sf).groupBy(F.col("key_right").alias("record_id"), "key_left").agg(F.min("kind").alias("kind")).groupBy("record_id").agg(
         F.count_if(F.col("kind") == "exact").alias("exact"), F.count_if(F.col("kind") == "near").alias("near")
     )
-    outside = _split_records(spark, sf).where("split <> 'train'").select("record_id", "split", "source").distinct()
+    chat = table(spark, sf, "chat_records").select("record_id", "split", "source")
+    test = table(spark, sf, "test_set").select("record_id", F.lit("test_set").alias("split"), "source")
+    outside = chat.unionAll(test).where("split <> 'train'").distinct()
     return outside.join(pairs, "record_id", "left").groupBy("split", "source").agg(
         F.count(F.lit(1)).alias("records"), F.count_if(F.col("exact").isNotNull()).alias("overlapping"),
         F.coalesce(F.sum("exact"), F.lit(0)).alias("exact_pairs"), F.coalesce(F.sum("near"), F.lit(0)).alias("near_pairs"),
