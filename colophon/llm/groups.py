@@ -3,11 +3,14 @@
 Method: frontier breadth-first components. The adjacency lists are hash-partitioned; the nodes
 whose hash is the least among their neighbours are seeds and are expanded concurrently, LEVELS
 steps a round; where two seeds meet, their labels become an edge of a smaller graph, on which the
-next round works. The input always takes one such round; a graph of seeds of at most SMALL_EDGES edges
-is finished by one task. Components then go to the splits in the order of their hash.
+next round works in the same way, until no labels collide. Components then go to the splits in the
+order of their hash; the few that hold BIG of all rows or more are placed before by size, as their
+place decides how nearly the shares can be met.
 
-Nothing but counts and sums of a fixed number of buckets reaches the driver. The output of each
-round is checkpointed in the shared folder.
+The search is the same at every size. A node with very many neighbours is no list in one task: the
+expansion is a join, whose long keys the adaptive skew join splits, and labels are reduced before they
+are shuffled. Nothing but counts and sums of a fixed number of buckets reaches the driver. The output
+of each round is checkpointed in the shared folder.
 
 Defined cases: blank cells (NULL, empty, spaces) repeat the last non-blank cell above them in their
 workbook; a cell that has none above is linked to nothing. Repeated rows of a mention count once.
@@ -15,9 +18,6 @@ workbook; a cell that has none above is linked to nothing. Repeated rows of a me
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,47 +26,17 @@ from colophon.operators.fill import fill_down
 from colophon.plans.runtime import cut_lineage
 
 LEVELS = 2
-#: A graph of colliding seed labels this small (16 bytes an edge) is merged by one task.
-SMALL_EDGES = 200_000
 
 
 def _rank(column: str | Column, turn: int) -> Column:
     return F.xxhash64(F.col(column) if isinstance(column, str) else column, F.lit(turn))
 
 
-def _merge_small(edges: DataFrame) -> DataFrame:
-    """(node, label) of a graph of bounded size, by union-find in one task."""
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            parent.setdefault(x, x)
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x, y = root(a), root(b)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-        nodes = list(parent)
-        if nodes:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "label"]
-            )
-
-    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, label long")
-
-
 def _expand(edges: DataFrame, turn: int) -> DataFrame:
     """(node, label) after LEVELS steps of concurrent breadth-first search from the seeds of a round."""
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).unionAll(
+    adjacent = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).unionAll(
         edges.select(F.col("b").alias("node"), F.col("a").alias("next"))
     )
-    adjacent = both.repartition("node")
     nodes = adjacent.groupBy("node").agg(F.min(_rank("next", turn)).alias("least"))
     labels = nodes.select(
         "node", F.when(_rank("node", turn) < F.col("least"), F.struct(_rank("node", turn).alias("rank"), F.col("node").alias("label"))).alias("seed")
@@ -91,13 +61,10 @@ def components(edges: DataFrame) -> DataFrame:
     mapping = nodes.select("node", F.col("node").alias("label"))
     links = pairs.where(F.col("a") != F.col("b"))
     turn = 0
-    while (n := links.count()) > 0:
-        small = turn > 0 and n <= SMALL_EDGES
-        step = cut_lineage(_merge_small(links) if small else _expand(links, turn))
+    while not links.isEmpty():
+        step = cut_lineage(_expand(links, turn))
         moved = step.select(F.col("node").alias("label"), F.col("label").alias("to"))
-        mapping = mapping.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        if small:
-            break
+        mapping = cut_lineage(mapping.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
         end = lambda c, to: step.select(F.col("node").alias(c), F.col("label").alias(to))  # noqa: B023, E731
         links = cut_lineage(
             links.join(end("a", "x"), "a").join(end("b", "y"), "b").where(F.col("x") != F.col("y"))
