@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 #: Terms of the series and of the continued fraction.
 TERMS = 200
-#: Largest number of degrees of freedom the map of ln Gamma covers.
+#: Largest number of degrees of freedom the map of ln Gamma covers; beyond it Stirling's series is exact to a double.
 MOST_DF = 64
 
 
 def _log_gamma_half(df: Column) -> Column:
-    """ln Gamma(df / 2) for df from 1 to MOST_DF."""
-    return F.element_at(F.create_map(*[F.lit(x) for n in range(1, MOST_DF + 1) for x in (n, math.lgamma(n / 2))]), df.cast("int"))
+    """ln Gamma(df / 2) for df of 1 or more."""
+    a = df.cast("double") / 2
+    series = (a - 0.5) * F.log(a) - a + 0.5 * math.log(2 * math.pi) + 1 / (12 * a) - 1 / (360 * a * a * a) + 1 / (1260 * F.pow(a, 5))
+    known = F.create_map(*[F.lit(x) for n in range(1, MOST_DF + 1) for x in (n, math.lgamma(n / 2))])
+    return F.coalesce(F.try_element_at(known, df.cast("int")), series)
 
 
 def upper_gamma(df: Column, x: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Class of every white space sign, also those that trim() leaves; Java and RE2 read it alike.
+BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 # Ambiguous characters of copied article text.
 SPACES = "         "
 REMOVED = "­​"
@@ -13,6 +15,11 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 SHORT, DASHES = 350, 10
 
 
+def strip(c: Column) -> Column:
+    """Outer white space of any kind dropped."""
+    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+$", "")
+
+
 def plain_characters(c: Column) -> Column:
     """Full-width parentheses, special spaces, soft hyphens and ligatures to plain characters."""
     out = F.translate(c, "（）" + SPACES + REMOVED, "()" + " " * len(SPACES))
@@ -23,7 +30,7 @@ def plain_characters(c: Column) -> Column:
 
 def one_line(c: Column) -> Column:
     """White space collapsed to single spaces, outer space dropped."""
-    return F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " "))
+    return F.trim(F.regexp_replace(c, BLANK + "+", " "))
 
 
 def clean_reference(c: Column) -> Column:
@@ -32,7 +39,7 @@ def clean_reference(c: Column) -> Column:
 
 def clean_context(c: Column) -> Column:
     """White space collapsed, then runs of two or more dashes to a space (double spaces may stay), trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[\s\p{Z}]+", " "), "[-–—]{2,}", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, BLANK + "+", " "), "[-–—]{2,}", " "))
 
 
 def rejoin_hyphens(c: Column) -> Column:
@@ -42,7 +49,7 @@ def rejoin_hyphens(c: Column) -> Column:
 
 def compare_key(c: Column) -> Column:
     """Text for comparison: plain characters, no white space, lower case."""
-    return F.lower(F.regexp_replace(plain_characters(c), r"[\s\p{Z}]+", ""))
+    return F.lower(F.regexp_replace(plain_characters(c), BLANK + "+", ""))
 
 
 def cell_text(c: Column) -> Column:

@@ -5,12 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colophon.functions.text import cell_text
 
-def pair_counts(pairs: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """(actual, predicted, n): one aggregation; pairs with a blank side are left out."""
-    clean = lambda c: F.trim(F.regexp_replace(F.col(c), r"\s+", " "))
-    both = pairs.select(clean(truth).alias("actual"), clean(predicted).alias("predicted")).where("actual <> '' and predicted <> ''")
-    return both.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+def label_pairs(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """(actual, predicted, complete): cell texts of two columns; rows with both blank are left out.
+
+    ``complete`` is false where just one side is blank: such a pair is an error of the sheet.
+    """
+    both = rows.select(cell_text(F.col(truth)).alias("actual"), cell_text(F.col(predicted)).alias("predicted"))
+    return both.where("actual <> '' or predicted <> ''").withColumn("complete", (F.col("actual") != "") & (F.col("predicted") != ""))
+
+
+def pair_counts(rows: DataFrame, truth: str, predicted: str, strict: bool = True) -> DataFrame:
+    """(actual, predicted, n) in one aggregation. A half-blank pair stops the query; without ``strict`` it is left out."""
+    pairs = label_pairs(rows, truth, predicted)
+    if strict:
+        checked = F.when(F.col("complete"), F.col("actual")).otherwise(F.raise_error(F.lit("a pair of labels is half blank")))
+        pairs = pairs.withColumn("actual", checked)
+    return pairs.where("complete").groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cohen_kappa(counts: DataFrame) -> DataFrame:

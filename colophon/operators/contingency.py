@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colophon.functions.special import chi2_tail
-from colophon.functions.vocab import DIMENSIONS, LABELS, categories
+from colophon.functions.vocab import DIMENSIONS, DISPLAY, LABELS, categories
 from colophon.plans.runtime import cut_lineage
 
 
@@ -103,3 +103,28 @@ def counts_for_tests(records: DataFrame) -> DataFrame:
 def significance(p: Column) -> Column:
     """Yes or No at five percent, from the asymptotic p."""
     return F.when(p < 0.05, "Yes").otherwise("No")
+
+
+def tally(tests: DataFrame, key: str, dim: str, dims: list[str]) -> DataFrame:
+    """Per key: Yes or No for each dimension and the number of Yes as 'k/6'; a test without p is a No."""
+    yes = F.coalesce(F.col("p") < 0.05, F.lit(False))
+    cells = [F.coalesce(F.max(F.when(F.col(dim) == d, significance(F.col("p")))), F.lit("No")).alias(d) for d in dims]
+    return tests.groupBy(key).agg(*cells, F.concat(F.count_if(yes).cast("string"), F.lit(f"/{len(dims)}")).alias("total"))
+
+
+def display_name(category: Column) -> Column:
+    """Name of a category in reports: a few are spelled otherwise, the rest stay."""
+    names = F.create_map(*[F.lit(x) for pair in DISPLAY.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, category), category)
+
+
+def report(table: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(*keys, dim, ord, category, n1, n2, share1, share2): both groups side by side under display names."""
+    keys = keys or []
+    side = table.groupBy(*keys, "dim", "ord", "category").pivot("grp", ["G1", "G2"]).agg(F.max("n"))
+    whole = Window.partitionBy(*keys, "dim")
+    share = lambda c: F.round(F.try_divide(F.col(c), F.sum(c).over(whole)), 6)
+    return side.select(
+        *keys, "dim", "ord", display_name(F.col("category")).alias("category"), F.col("G1").cast("long").alias("n1"), F.col("G2").cast("long").alias("n2"),
+        share("G1").alias("share1"), share("G2").alias("share2"),
+    )

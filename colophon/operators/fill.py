@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colophon.functions.text import BLANK
+
 #: Sheet rows that are filled by one task.
 FILL_BLOCK = 20_000
 
@@ -12,7 +14,7 @@ FILL_BLOCK = 20_000
 def non_blank(column: str | Column) -> Column:
     """The value, or NULL where it is empty or white space only."""
     value = F.col(column) if isinstance(column, str) else column
-    return F.when(F.trim(F.regexp_replace(value, r"(?U)\s+", " ")) != "", value)
+    return F.when(value.rlike(rf"[^{BLANK[1:]}"), value)
 
 
 def fill_down(df: DataFrame, sheet: str, row: str, fields: list[str]) -> DataFrame:

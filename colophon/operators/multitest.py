@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def benjamini_hochberg(tests: DataFrame, name: str, p: str, keys: list[str] | None = None) -> DataFrame:
+def benjamini_hochberg(tests: DataFrame, name: str, p: str, keys: list[str] | None = None, order: str | None = None) -> DataFrame:
     """(*keys, name, p, adjusted, significant): p * m / rank, made monotone from the largest p down, at most 1.
 
-    Tests without p take no part. Equal p are ordered by name. One family per key.
+    Tests without p take no part. Equal p are ordered by name. One family per key. ``order`` names a column for the rank.
     """
     keys = keys or []
     family = Window.partitionBy(*keys)
@@ -18,4 +18,4 @@ def benjamini_hochberg(tests: DataFrame, name: str, p: str, keys: list[str] | No
     )
     down = family.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
     adjusted = F.least(F.lit(1.0), F.min(F.col("p") * F.col("m") / F.col("rank")).over(down))
-    return ranked.select(*keys, "name", "p", adjusted.alias("adjusted")).withColumn("significant", F.col("adjusted") < 0.05)
+    return ranked.select(*keys, "name", "p", adjusted.alias("adjusted"), *([F.col("rank").alias(order)] if order else [])).withColumn("significant", F.col("adjusted") < 0.05)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from colophon.functions.text import BLANK, strip
 
 
 def anchor_blocks(records: DataFrame) -> DataFrame:
@@ -18,6 +21,7 @@ def anchor_blocks(records: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("block_rows"), F.countDistinct("article_id").alias("articles"),
         F.countDistinct(F.when(F.col("cited_raw") != "", F.col("cited_raw"))).alias("cited_texts"),
     )
+    # Names of the flags
     flags = F.array_compact(
         F.array(
             F.when(F.col("block_rows") != F.col("strength"), "block_length_differs_from_strength"),
@@ -29,7 +33,7 @@ def anchor_blocks(records: DataFrame) -> DataFrame:
 
 
 def filled_pairs(records: DataFrame) -> DataFrame:
-    """Distinct (label, filled title, filled cited text) per label."""
+    """Distinct (label, filled title, filled cited text) per label; blank cells are filled inside their sheet."""
     keys = records.select("label", F.coalesce("article_title", F.lit("")).alias("t"), F.coalesce("cited", F.lit("")).alias("c")).distinct()
     return keys.groupBy("label").agg(F.count(F.lit(1)).alias("pairs"))
 
@@ -54,7 +58,7 @@ def value_histogram(rows: DataFrame, column: str) -> DataFrame:
 
 def validity(rows: DataFrame, required: list[str], domains: dict[str, list[str]]) -> DataFrame:
     """Adds `reason`: why a row is rejected, or '' for a valid one; blank rows are 'blank'."""
-    text = {c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) for c in [*required, *domains]}
+    text = {c: F.coalesce(strip(F.col(c).cast("string")), F.lit("")) for c in [*required, *domains]}
     blank = F.lit(True)
     for c in text.values():
         blank = blank & (c == "")
@@ -64,3 +68,31 @@ def validity(rows: DataFrame, required: list[str], domains: dict[str, list[str]]
     for c, allowed in domains.items():
         reason = reason.when(~text[c].isin(allowed), f"unknown {c}")
     return rows.withColumn("reason", reason.otherwise(""))
+
+
+def pass_counters(rows: DataFrame, left: str, right: str, score: str) -> DataFrame:
+    """Counters of a scoring pass in one aggregation: rows, skipped (a blank text on either side), scored, failed, words, unchanged.
+
+    ``words`` sums the words of ``right`` over the rows that aren't skipped; ``unchanged`` counts rows whose texts are equal,
+    as after a pass that fell back to its input.
+    """
+    filled = lambda c: F.coalesce(F.col(c).rlike(rf"[^{BLANK[1:]}"), F.lit(False))
+    both = filled(left) & filled(right)
+    words = F.size(F.regexp_extract_all(F.col(right), F.lit("([^ ]+)"), 1))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(~both).alias("skipped"), F.count_if(both & F.col(score).isNotNull()).alias("scored"),
+        F.count_if(both & F.col(score).isNull()).alias("failed"), F.coalesce(F.sum(F.when(both, words)), F.lit(0)).cast("long").alias("words"),
+        F.count_if(both & (F.col(left) == F.col(right))).alias("unchanged"),
+    )
+
+
+def with_total(rows: DataFrame, code: str, name: str = "Total") -> DataFrame:
+    """The rows and a total row: sums of the numbers, NULL in other columns."""
+    numbers = {f.name for f in rows.schema.fields if isinstance(f.dataType, NumericType)}
+    cells = [F.sum(c).alias(c) if c in numbers else F.lit(name if c == code else None).cast("string").alias(c) for c in rows.columns]
+    return rows.unionByName(rows.agg(*cells))
+
+
+def without_total(rows: DataFrame, code: str, name: str = "Total") -> DataFrame:
+    """Rows but the total row; rows without a code are kept."""
+    return rows.where(~F.col(code).eqNullSafe(name))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colophon.functions.text import strip
 from colophon.operators.fill import FILL_BLOCK, fill_down, non_blank
 
 
 def cell(column: str) -> Column:
-    """Cell text: outer spaces dropped, NULL as empty text."""
-    return F.coalesce(F.trim(F.col(column)), F.lit(""))
+    """Cell text: outer white space dropped, NULL as empty text."""
+    return F.coalesce(strip(F.col(column)), F.lit(""))
 
 
 def running_count(df: DataFrame, sheet: str, row: str, flags: dict[str, Column]) -> DataFrame:
@@ -46,7 +47,7 @@ def analysis_records(rows: DataFrame) -> DataFrame:
         F.col("citation_strength").alias("strength_value"), cell("citation_function").alias("function"), cell("citation_depth").alias("depth"),
         F.col("semantic_similarity").alias("similarity"),
     )
-    base = base.withColumn("title_anchor", F.trim("title")).withColumn("cited_raw", F.trim("cited"))
+    base = base.withColumn("title_anchor", strip(F.col("title"))).withColumn("cited_raw", strip(F.col("cited")))
     filled = fill_down(base, "workbook", "source_row", ["title", "cited"])
     counted = running_count(
         filled, "workbook", "source_row",
@@ -57,8 +58,8 @@ def analysis_records(rows: DataFrame) -> DataFrame:
         "mention_id", "workbook", "source_row", "label", F.when(F.col("label").startswith("G1"), "G1").otherwise("G2").alias("grp"),
         F.when(F.col("label").contains("-"), F.expr("substring(label, instr(label, '-') + 1)")).otherwise("").alias("field"),
         "journal", "year", F.concat("workbook", F.lit("/A"), F.lpad(F.col("article_no").cast("string"), 4, "0")).alias("article_id"),
-        F.trim("title").alias("article_title"), F.coalesce("title_anchor", F.lit("")).alias("title_anchor"),
-        F.coalesce("cited_raw", F.lit("")).alias("cited_raw"), F.trim("cited").alias("cited"), "content",
+        strip(F.col("title")).alias("article_title"), F.coalesce("title_anchor", F.lit("")).alias("title_anchor"),
+        F.coalesce("cited_raw", F.lit("")).alias("cited_raw"), strip(F.col("cited")).alias("cited"), "content",
         F.when(F.lower("position_raw") == "discussion", "Discussion").otherwise(F.col("position_raw")).alias("position"), "position_raw",
         "distance", value.isNotNull().alias("has_strength"), F.col("anchor_no"),
         F.when(value.isNotNull(), F.concat("workbook", F.lit("/S"), F.lpad(F.col("anchor_no").cast("string"), 4, "0"))).otherwise("").alias("strength_id"),
@@ -71,26 +72,13 @@ def strength_bucket(value: Column) -> Column:
     return F.when(value >= 5, ">=5").when(value.isNotNull(), value.cast("int").cast("string"))
 
 
-# The same records for DuckDB. `r` ends the chain.
-RECORDS_SQL = """
-with d as (select * from annotation_rows qualify row_number() over (partition by mention_id order by loaded_at nulls last) = 1),
-b as (
-  select mention_id, workbook, source_row, coalesce(trim(lable), '') as label, coalesce(trim(journal), '') as journal, year,
-    nullif(trim(self_citing_article), '') as title_anchor, nullif(trim(self_cited_article), '') as cited_raw,
-    coalesce(trim(citation_content), '') as content, coalesce(trim(citation_position), '') as position_raw,
-    coalesce(trim(citation_distance), '') as distance, citation_strength as strength_value,
-    coalesce(trim(citation_function), '') as function, coalesce(trim(citation_depth), '') as depth, semantic_similarity as similarity
-  from d),
-r as (
-  select mention_id, workbook, source_row, label, case when starts_with(label, 'G1') then 'G1' else 'G2' end as grp,
-    case when contains(label, '-') then substring(label, instr(label, '-') + 1) else '' end as field, journal, year,
-    workbook || '/A' || lpad(cast(count(title_anchor) over w as varchar), 4, '0') as article_id,
-    last_value(title_anchor ignore nulls) over w as article_title, coalesce(title_anchor, '') as title_anchor,
-    coalesce(cited_raw, '') as cited_raw, last_value(cited_raw ignore nulls) over w as cited, content,
-    case when lower(position_raw) = 'discussion' then 'Discussion' else position_raw end as position, position_raw, distance,
-    strength_value is not null as has_strength, count(strength_value) over w as anchor_no,
-    case when strength_value is not null then workbook || '/S' || lpad(cast(count(strength_value) over w as varchar), 4, '0') else '' end as strength_id,
-    strength_value, case when strength_value >= 5 then '>=5' when strength_value is not null then cast(cast(trunc(strength_value) as int) as varchar) end as strength,
-    function, depth, similarity
-  from b window w as (partition by workbook order by source_row rows between unbounded preceding and current row))
-"""
+def with_field_names(records: DataFrame, journals: DataFrame) -> DataFrame:
+    """Adds ``field_name`` of the field number; NULL for an unknown field. One row per field is broadcast (a fixed list)."""
+    names = journals.groupBy(F.col("field_no").cast("string").alias("field")).agg(F.min("field_name").alias("field_name"))
+    return records.join(F.broadcast(names), "field", "left")
+
+
+def first_rows(rows: DataFrame, n: int, sheet: str = "workbook", row: str = "source_row") -> DataFrame:
+    """The first ``n`` data rows of each sheet by sheet row, blank ones counted too."""
+    place = F.row_number().over(Window.partitionBy(sheet).orderBy(row))
+    return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from colophon.operators import schema_drift
+from colophon.plans import statistics
 from colophon.plans.runtime import table
 
+MODULES = (statistics,)
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Columns of the annotation sheet, in sheet order.
@@ -28,8 +30,9 @@ def p2_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_table": p2_table}
+    own = {f.__name__: f for module in MODULES for f in module.QUERIES}
+    return own | {"p2_found": p2_found, "p2_table": p2_table}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.ORACLE.items()}

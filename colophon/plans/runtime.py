@@ -15,15 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
+    """Reliable checkpoint in the shared folder of ``spark.checkpoint.dir``, which is read from the session.
 
-    The setting is read from the session. Only where it is unset (tests, a laptop)
-    a temporary folder of this machine is used.
+    Where it is unset, a session of one machine (tests, a laptop) gets a temporary folder; on a cluster it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="colophon-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="colophon-")
+        context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
 
