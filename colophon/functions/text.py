@@ -78,3 +78,15 @@ def starts_upper(c: Column) -> Column:
     """Whether the first letter has case and is upper."""
     first = F.regexp_extract(c, r"\p{L}", 0)
     return (first != "") & (F.upper(first) == first) & (F.lower(first) != first)
+
+
+def paren_profile(c: Column) -> Column:
+    """(deepest, open_at_end) of the parentheses of a text; a closing one without an open one counts for nothing."""
+    signs = F.regexp_extract_all(c, F.lit(r"([()])"), 1)
+    start = F.struct(F.lit(0).alias("deepest"), F.lit(0).alias("open_at_end"))
+
+    def step(s: Column, sign: Column) -> Column:
+        depth = F.greatest(F.lit(0), s["open_at_end"] + F.when(sign == "(", 1).otherwise(-1))
+        return F.struct(F.greatest(s["deepest"], depth).alias("deepest"), depth.alias("open_at_end"))
+
+    return F.aggregate(signs, start, step)

@@ -11,6 +11,8 @@ FUNCTION = [
     "Foundation", "Inspiration", "Extension", "Application", "Elaborated Citation", "Comparison", "Similarity", "Affirmation",
     "Related work", "Simple mention", "Comparison between Related Work", "Future work", "Further reading", "Historical background",
 ]
+# Labels of the training records; the sheets use the same names in their own spelling.
+TRAINING_FUNCTION = FUNCTION
 DEPTH = ["Deep citation", "Moderate citation", "Shallow citation"]
 STRENGTH = ["1", "2", "3", "4", ">=5"]
 LABELS = [f"{g}-{f}" for g in ("G1", "G2") for f in range(1, 6)]

@@ -8,11 +8,11 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colophon.functions.text import compare_key, plain_characters, rejoin_hyphens
+from colophon.functions.text import compare_key, plain_characters, rejoin_hyphens, strip
 from colophon.plans.runtime import arrow_pass
 
 BOUNDS = frozenset("。！？.!?")
-# Marks and spaces around a full stop that is no boundary.
+# Marks and spaces around a full stop that is no boundary, and abbreviations with one.
 CLOSING = frozenset("\"'”’»›」』")
 THIN = frozenset(" \t                 ​")
 ABBREVIATIONS = ("dr.", "e.g.", "i.e.", "etc.", "vs.", "prof.", "mr.", "ms.")
@@ -20,7 +20,7 @@ ABBREVIATIONS = ("dr.", "e.g.", "i.e.", "etc.", "vs.", "prof.", "mr.", "ms.")
 
 def body_paragraphs(paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, para_idx, text): cleaned non-blank paragraphs before the first one that reads 'references'."""
-    c = F.trim(F.regexp_replace(plain_characters(F.col("text")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    c = strip(plain_characters(F.col("text")))
     cleaned = paragraphs.select(key, "para_idx", c.alias("text"))
     stop = F.min(F.when(F.lower("text") == "references", F.col("para_idx"))).over(Window.partitionBy(key))
     kept = cleaned.withColumn("_stop", stop).where(F.col("_stop").isNull() | (F.col("para_idx") < F.col("_stop")))
@@ -109,43 +109,29 @@ def context(index: DataFrame, key: str = "doc_id", window: int = 3) -> DataFrame
 
 
 def _name(surname: str, intended: bool) -> str:
-    """Pattern of a surname: any hyphen with optional space for a hyphen, curly for straight apostrophes if intended."""
-    out = []
-    for ch in surname.strip():
-        if ch == "-":
-            out.append(r"[\-‐-―]\s*")
-        elif ch == "'" and intended:
-            out.append("['’]")
-        else:
-            out.append(re.escape(ch))
-    return rf"(?<!\w){''.join(out)}(?!\w)"
+    """Pattern of a surname as a whole word; a hyphen may be any dash, with space after it."""
+    signs = {"-": r"[\-‐-―]\s*", "'": "['’]" if intended else "'"}
+    return rf"(?<![\w@./]){''.join(signs.get(ch) or re.escape(ch) for ch in surname.strip())}(?!\w)"
 
 
 def mention_patterns(surname: str, year: int, intended: bool = False) -> list[re.Pattern]:
-    """Patterns of APA and Harvard mentions of a first author and year.
+    """Patterns of APA and Harvard mentions of a first author and year, upper or lower case.
 
-    Built from parts: author, co-authors, et al., a year list that holds the year, and the ways in which
-    they are bracketed.
+    A mention is an author part and a year part:
+
+    author  the surname, alone, with 'et al.', or with up to 20 further names before 'and' or '&'
+    year    a list of years, each with an optional letter, that holds the year
+
+    In running text the years are in parentheses, with up to 80 signs of a locator behind them; inside
+    parentheses, in lists of mentions and without any brackets, the years follow the author, with or without comma.
     """
-    name = _name(surname, intended)
-    other = r"[^\W\d_]+(?:[ '’][^\W\d_]+|[\-‐-―]\s*[^\W\d_]+)*"
-    any_year, this = r"\d{4}[a-z]?", rf"{year}[a-z]?"
-    al, joint = r"\s+et al\.?", r"(?:&|and)"
-    years = rf"(?:{any_year}\s*,\s*)*{this}\s*(?:,\s*{any_year}\s*)*"
-    shut = r"\s*(?:\)|(?=[;)]))"
-    forms = [
-        rf"{name}(?:{al})?\s*\(\s*{years}\)",  # A (2020), A et al. (2019, 2020a)
-        rf"{name}(?:{al})?\s*\(\s*{this}\s*(?:,[^)]{{0,80}})?\)",  # A (2020, p. 3)
-        rf"\(\s*{name}\s*,\s*{years}\)",  # (A, 2019, 2020)
-        rf"\({name}(?:{al})?,\s*{this}(?:[^)]{{0,80}})?\)",  # (A et al., 2020, p. 3)
-        rf"{name}\s*(?:,\s*{other}\s*)*,?\s*and\s*{other}\s*\(\s*{this}\s*\)",  # A, B, and C (2020)
-        rf"\(\s*{name}(?:\s*,\s*{other}){{0,20}}\s*,?\s*{joint}\s*{other}\s*,?\s*{this}{shut}",  # (A, B, & C, 2020)
-        rf"{name}{al}\s+{this}",  # A et al. 2020
-        rf"{name}\s*{joint}\s*{other},?\s*{this}",  # A & B, 2020
-        rf"{name},?\s*{this}(?:;\s*{other},\s*{any_year})*",  # A, 2020; B, 2019
-        rf"(?<![@./]){name}\s+{this}\b",  # A 2020
-    ]
-    return [re.compile(f, re.IGNORECASE | re.DOTALL) for f in forms]
+    person = r"[^\W\d_][\w’'‐-―-]*(?:\s[^\W\d_][\w’'‐-―-]*){0,3}?"
+    company = rf"(?:\s*,\s*{person}){{0,20}}\s*,?\s*(?:and\b|&)\s*{person}"
+    author = rf"{_name(surname, intended)}(?:\s+et\s+al\b\.?|{company})?"
+    one = r"\d{4}[a-z]?"
+    years = rf"(?:{one}\s*[,;]\s*)*{year}[a-z]?(?!\w)"
+    forms = (rf"{author}\s*\(\s*{years}[^()]{{0,80}}\)", rf"{author}\s*,?\s*{years}")
+    return [re.compile(f, re.IGNORECASE) for f in forms]
 
 
 def mentions(body: DataFrame, targets: DataFrame, key: str = "doc_id", intended: bool = False) -> DataFrame:
@@ -155,7 +141,9 @@ def mentions(body: DataFrame, targets: DataFrame, key: str = "doc_id", intended:
     Targets without surname match nothing.
     """
     wanted = targets.where("surname <> '' and ref_year >= 0").select(key, "ref_text", "surname", "ref_year")
-    pairs = body.join(wanted, key).select(F.col(key).alias("k"), F.col("para_idx").cast("int").alias("para_idx"), "text", "ref_text", "surname", "ref_year")
+    # the surname without its hyphens and apostrophes must occur before any pattern is tried
+    plain = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+    pairs = body.join(wanted, key).where(F.contains(plain(F.col("text")), plain(F.col("surname")))).select(F.col(key).alias("k"), F.col("para_idx").cast("int").alias("para_idx"), "text", "ref_text", "surname", "ref_year")
 
     def rows(batch: list[dict]) -> Iterator[tuple]:
         compiled: dict[tuple, list[re.Pattern]] = {}
@@ -286,6 +274,13 @@ def linked_context(index: DataFrame, key: str = "doc_id") -> DataFrame:
     return flagged.withColumn("linked_context", F.concat_ws(" ", F.when(F.col("_l"), before), F.col("sent"), F.when(next_linked, after))).drop("_l")
 
 
+def heading_text(text: Column) -> Column:
+    """Whether a line reads like a heading: one to five words, the first capitalised; not abstract, keywords or references."""
+    words = F.regexp_extract_all(text, F.lit(r"([A-Za-z][A-Za-z0-9\-/]*)"), 1)
+    plain = F.trim(F.regexp_replace(F.lower(F.trim(text)), r"\.+$", ""))
+    return (F.size(words) > 0) & (F.size(words) <= 5) & F.get(words, F.lit(0)).rlike("^[A-Z]") & ~plain.isin("abstract", "keywords", "key words", "references")
+
+
 def is_heading(text: Column, runs: Column) -> Column:
     """Heading predicate over styled runs (text, fonts, size_pt, bold, italic), weighted by characters.
 
@@ -297,12 +292,9 @@ def is_heading(text: Column, runs: Column) -> Column:
     share = lambda a, b: F.try_divide(a, b)
     font = share(chars(lambda r: F.exists(r["fonts"], lambda f: F.lower(f).contains("times new roman"))), total)
     size = share(chars(lambda r: F.coalesce(r["size_pt"] == 11, F.lit(False))), chars(lambda r: r["size_pt"].isNotNull()))
-    words = F.regexp_extract_all(text, F.lit(r"([A-Za-z][A-Za-z0-9\-/]*)"), 1)
-    plain = F.trim(F.regexp_replace(F.lower(F.trim(text)), r"\.+$", ""))
     return F.coalesce(
         (total > 0) & (font >= 0.6) & (share(chars(lambda r: r["italic"]), total) <= 0.4) & (share(chars(lambda r: r["bold"]), total) >= 0.6)
-        & F.coalesce(size >= 0.6, F.lit(True)) & (F.size(words) > 0) & (F.size(words) <= 5) & F.get(words, F.lit(0)).rlike("^[A-Z]")
-        & ~plain.isin("abstract", "keywords", "key words", "references"),
+        & F.coalesce(size >= 0.6, F.lit(True)) & heading_text(text),
         F.lit(False),
     )
 
