@@ -220,12 +220,22 @@ def distance_by_join(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     ).drop("level")
 
 
+#: Order of a reference that isn't listed, and place of a paragraph that isn't known: behind all others.
+LAST = 1_000_000_000
+
+
+def with_ref_order(rows: DataFrame, targets: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Adds ``ref_order`` of each row's reference; LAST where it isn't listed."""
+    listed = targets.groupBy(key, "ref_text").agg(F.min("ref_order").alias("ref_order"))
+    return rows.join(listed, [key, "ref_text"], "left").withColumn("ref_order", F.coalesce("ref_order", F.lit(LAST)))
+
+
 def with_placeholders(targets: DataFrame, rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of found mentions, and a placeholder (blank sentence, para_idx -1) for each target without mention."""
-    bare = targets.select(key, "ref_text", "ref_order").join(rows.select(key, "ref_text").distinct(), [key, "ref_text"], "left_anti")
-    return rows.join(targets.select(key, "ref_text", "ref_order"), [key, "ref_text"], "left_semi").join(
-        targets.select(key, "ref_text", "ref_order").distinct(), [key, "ref_text"]
-    ).unionByName(bare.select(key, "ref_text", "ref_order", F.lit("").alias("sentence"), F.lit(-1).alias("para_idx")), allowMissingColumns=True)
+    listed = targets.groupBy(key, "ref_text").agg(F.min("ref_order").alias("ref_order"))
+    bare = listed.join(rows.select(key, "ref_text").distinct(), [key, "ref_text"], "left_anti")
+    found = rows.join(listed, [key, "ref_text"])
+    return found.unionByName(bare.withColumns({"sentence": F.lit(""), "para_idx": F.lit(-1)}), allowMissingColumns=True)
 
 
 def first_per_sentence(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -237,8 +247,8 @@ def first_per_sentence(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 def final_order(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds `position`: numeric document ids first, then reference order, paragraph (blank last), sentence."""
     number = F.expr(f"try_cast({key} as double)")
-    late = F.when(F.col("para_idx") == -1, 1_000_000_000).otherwise(F.col("para_idx"))
-    order = Window.partitionBy(key).orderBy(F.coalesce("ref_order", F.lit(1_000_000_000)), late, "sentence")
+    late = F.when(F.col("para_idx") == -1, LAST).otherwise(F.col("para_idx"))
+    order = Window.partitionBy(key).orderBy(F.coalesce("ref_order", F.lit(LAST)), late, "sentence")
     return rows.withColumn("doc_number", number).withColumn("position", F.row_number().over(order)).orderBy(
         F.col("doc_number").asc_nulls_last(), key, "position"
     )

@@ -242,8 +242,9 @@ z as (select doc_id, i, len(regexp_extract_all(unit, '[^\s\x{{0b}}\x{{1c}}-\x{{1
 w as (select doc_id, i, size, 0::bigint as chunk, size as used from z where i = 1 union all
   select z.doc_id, z.i, z.size, case when w.used + z.size > {chunks.CHUNK_TOKENS} then w.chunk + 1 else w.chunk end, case when w.used + z.size > {chunks.CHUNK_TOKENS} then z.size else w.used + z.size end
   from w join z on z.doc_id = w.doc_id and z.i = w.i + 1),
-g as (select u.doc_id, chunk as chunk_no, max(chunk) over (partition by u.doc_id) as last, array_to_string(list(z.unit order by z.i), max(glue)) as body, max(fin) as fin
-  from w join z using (doc_id, i) join u using (doc_id) group by u.doc_id, chunk)
+g0 as (select u.doc_id, chunk as chunk_no, list(z.unit order by z.i) as us, max(glue) as glue, max(fin) as fin
+  from w join z using (doc_id, i) join u using (doc_id) group by u.doc_id, chunk),
+g as (select doc_id, chunk_no, max(chunk_no) over (partition by doc_id) as last, list_reduce(us, lambda a, b: a || glue || b) as body, fin from g0)
 select doc_id, chunk_no, md5(case when chunk_no < last or not ends_with(body, fin) then body || fin else body end) as digest from g
 union all select doc_id, 0, md5(text[1:{chunks.FALLBACK}]) from u where len(units) = 0""",
 }
