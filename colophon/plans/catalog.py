@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from colophon.operators import schema_drift
-from colophon.plans import citing, statistics, texts
+from colophon.plans import citing, labels, statistics, texts
 from colophon.plans.runtime import table
 
-MODULES = (statistics, texts, citing)
+MODULES = (statistics, texts, citing, labels)
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Columns of the annotation sheet, in sheet order.
