@@ -20,10 +20,9 @@ def label_pairs(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
 def pair_counts(rows: DataFrame, truth: str, predicted: str, strict: bool = True) -> DataFrame:
     """(actual, predicted, n) in one aggregation. A half-blank pair stops the query; without ``strict`` it is left out."""
     pairs = label_pairs(rows, truth, predicted)
-    if strict:
-        checked = F.when(F.col("complete"), F.col("actual")).otherwise(F.raise_error(F.lit("a pair of labels is half blank")))
-        pairs = pairs.withColumn("actual", checked)
-    return pairs.where("complete").groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    fault = F.raise_error(F.lit("a pair of labels is half blank")).cast("boolean") if strict else F.lit(False)
+    kept = pairs.where(F.when(F.col("complete"), F.lit(True)).otherwise(fault))
+    return kept.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cohen_kappa(counts: DataFrame) -> DataFrame:
