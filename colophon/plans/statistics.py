@@ -288,7 +288,7 @@ f as (select * from (select distinct dim, category from m), range({BOOTSTRAPS})
 ds as (select f.dim, f.category, f.it, coalesce(sum(case when h.grp = 'G1' then hit else -hit end / base), 0) as d from f
   left join h on h.dim = f.dim and h.category = f.category and h.it = f.it left join bs on bs.dim = h.dim and bs.grp = h.grp and bs.it = h.it group by all),
 ci as (select dim, category, quantile_cont(d, 0.025) as lower, quantile_cont(d, 0.975) as upper from ds group by all),
-o as (select dim, category, n1 / sum(n1) over (partition by dim) - n2 / sum(n2) over (partition by dim) as difference from
+o as (select dim, category, coalesce(n1 / nullif(sum(n1) over (partition by dim), 0), 0) - coalesce(n2 / nullif(sum(n2) over (partition by dim), 0), 0) as difference from
   (select dim, category, coalesce(sum(n) filter (grp = 'G1'), 0) as n1, coalesce(sum(n) filter (grp <> 'G1'), 0) as n2 from m group by all))
 select dim, category, round(difference, 6) as difference, round(lower, 6) as lower, round(upper, 6) as upper, (lower > 0 or upper < 0) as excludes_zero
 from o join ci using (dim, category)"""
