@@ -1,14 +1,19 @@
 """Problem 1: text cut off by field limits.
 
-Method: a trie of the corpus vocabulary (distributed as a table of its nodes: prefix, occurrences
-below it, occurrences of the prefix as a word) flags values whose final token is an unknown proper
-prefix of known words; lengths at which a source's values pile up are the further evidence. Cuts
-between words are found by the same corpus counts over sentence shapes: the last sentence of a
-value must have the shape of some finished sentence, and its last word must be one that ends
-sentences.
+Method: tries of the corpus, held as tables of their nodes (prefix, occurrences of longer items, occurrences of the
+prefix itself), flag values that end in an unknown proper prefix of known items; lengths at which a source's
+values pile up are the further evidence.
 
-A shape keeps function words, marks and brackets and replaces other words, names, years and
-numbers by their class, so shapes are few and their table is small beside the corpus.
+1. Trie of the vocabulary: the final token is no known word (or hardly ever one) but begins known words. Since a
+   rare word may begin others by chance, the length of a limit or the second trie must agree.
+2. Trie of sentence shapes, the same test for cuts between words: the last sentence reads like the beginning of
+   known sentences and (nearly) never like a whole one, or its last word never ends a sentence of the corpus.
+   A shape keeps function words, marks and brackets and replaces other words, names, years and numbers by their class.
+3. Marks: a mark of omission, a bracket left open, a final sign that ends no sentence.
+
+A sentence of a kind that the corpus doesn't have is evidence of nothing, so an ordinary finished sentence without full
+stop isn't flagged. All counts cover all values; each value is read, repaired and cleaned once, in one pass that gives
+both the counts and the values that may be cut.
 
 Defined cases: NULL, empty, blank and placeholder values are never truncated; a finished sentence
 without full stop isn't either. Repeated rows of a mention count once in the report.
@@ -18,7 +23,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from colophon.llm.encoding import shared_repairer
 from colophon.llm.lookalike import canonical
-from colophon.plans.runtime import arrow_pass, cut_lineage
+from colophon.plans.runtime import cut_lineage
 
 # Cells that stand for a missing text.
 PLACEHOLDERS = frozenset(("", "-", "--", "–", "—", "n/a", "na", "none", "null", "nan", "nil", "not available", "missing", "tbd", "?", "."))
@@ -44,7 +48,7 @@ FUNCTION_WORDS = frozenset(
 ABBREVIATED = frozenset("e.g i.e fig figs cf vs no nos vol p pp sect eq eqs tab dr prof mr mrs ms st approx ca resp".split())
 
 _TOKEN = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|[^\W\d_]+(?:[-’'][^\W\d_]+)*|\d+(?:[.,:]\d+)*[a-z]?|\.\.\.|[^\w\s]")
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"(?<![^\W_])[^\W\d_]+")
 _YEAR = re.compile(r"(?:1[6-9]|20)\d\d[a-z]?")
 _ET_AL = re.compile(r"\bet al\.?")
 _INNER_END = re.compile(r"(?<=[.!?;])[”\"’»)\]]*\s+(?=[“\"«(]?[^\W\d_a-zß-ÿ])|[。！？][”’」』）]*")
@@ -52,24 +56,34 @@ _OMISSION = re.compile(r"(?:\.\s?\.\s?\.|\.\.|…|⋯|\[\s*(?:…|\.\.\.)?\s*\]?
 _FINISHED = re.compile(r"[.!?。！？؟।…][\"”’»)\]」』）]*$")
 
 
-def shape(sentence: str) -> str:
-    """Shape of a sentence without its final full stop: function words, marks and word classes."""
-    out = []
-    sentence = _ET_AL.sub(" ", sentence)
-    for token in _TOKEN.findall(sentence):
+class _Classes(dict):
+    """Class of a token in a shape, kept for tokens met before (a bounded number)."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 100_000:
+            self.clear()
         head = token[0]
         if head in "([" and len(token) > 1:
-            out.append("C" if any(c.isdigit() for c in token) else "P")
+            out = "C" if any(c.isdigit() for c in token) else "P"
         elif head.isdigit():
-            out.append("Y" if _YEAR.fullmatch(token) else "N")
+            out = "Y" if _YEAR.fullmatch(token) else "N"
         elif head.isalpha():
             low = token.lower()
-            out.append(low if low in FUNCTION_WORDS else "A" if head.isupper() else "w")
+            out = low if low in FUNCTION_WORDS else "A" if head.isupper() else "w"
         else:
-            out.append(token)
-    while out and out[-1] in ".!?。！？":
-        out.pop()
-    return " ".join(out)
+            out = token
+        self[token] = out
+        return out
+
+
+_CLASSES = _Classes()
+
+
+def shape(sentence: str) -> str:
+    """Shape of a sentence without its final full stop: function words, marks and word classes."""
+    if "et al" in sentence:
+        sentence = _ET_AL.sub(" ", sentence)
+    return " ".join(map(_CLASSES.__getitem__, _TOKEN.findall(sentence))).rstrip(" .!?。！？")
 
 
 def collapsed(full: str) -> str:
@@ -95,13 +109,13 @@ def clean(text: str, repair) -> str:
 
 def _ending(text: str) -> str:
     """How a cleaned value ends: '' finished, 'omission', 'abbreviation', 'number' or 'open'."""
+    text = text[-80:]
     if _OMISSION.search(text):
         return "omission"
     if not _FINISHED.search(text):
         return "open"
-    m = re.search(r"(\S+)\.$", text)
-    if m:
-        word = m.group(1).lower().lstrip("(“\"[")
+    if text[-1] == "." and text[:-1].strip():
+        word = text[:-1].split()[-1].lower().lstrip("(“\"[")
         if word in ABBREVIATED or text.endswith("et al."):
             return "abbreviation"
         if word.isdigit() or re.fullmatch(r"\d+[.,]\d+", word):
@@ -109,58 +123,74 @@ def _ending(text: str) -> str:
     return ""
 
 
-def _statistics(df: DataFrame, text: str, get) -> DataFrame:
-    """(kind, item, n): 'w' words, 'e' words that end sentences, 's' shapes and 'c' collapsed shapes of sentences.
+PASS_SCHEMA = (
+    "kind string, item string, n long, key long, source string, size int, ending string, tail string, final string, full string, short string, before string, mark string, open boolean"
+)
+
+
+def _pass(rows: DataFrame, get) -> DataFrame:
+    """One row per count of a batch (kind, item, n) and one per value that may be cut (kind 'v').
 
-    The final token of a value without full stop isn't counted: it may be a fragment.
+    Kinds: 'w' words, 'e' words that end sentences, 's' shapes and 'c' collapsed shapes of whole sentences. The final token of
+    a value without full stop isn't counted: it may be a fragment.
     """
+    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    fields = [(f.split()[0], types[f.split()[1]]) for f in PASS_SCHEMA.split(", ")]
 
     def count(batches):
         for batch in batches:
-            words, ends, shapes = Counter(), Counter(), Counter()
-            for value in batch.column(0).to_pylist():
-                if value is None or value.strip().lower() in PLACEHOLDERS:
+            words, ends, sentences, found = Counter(), Counter(), Counter(), []
+            for key, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if text.strip().lower() in PLACEHOLDERS:
                     continue
-                value = clean(value, get().restored)
-                finished = not _ending(value)
-                body = value if finished else value[: len(value) - len(last_sentence(value))]
+                value = clean(text, get().restored)
+                if not value:
+                    continue
+                ending = _ending(value)
                 tokens = _WORD.findall(value.lower())
-                words.update(tokens if finished else tokens[:-1])
+                words.update(tokens if not ending else tokens[:-1])
                 done = 0
-                for m in _INNER_END.finditer(body):
-                    shapes[body[done : m.end()]] += 1
-                    done = m.end()
-                if finished and done < len(body):
-                    shapes[body[done:]] += 1
-            rows = Counter()
-            for sentence, n in shapes.items():
-                last = _WORD.findall(sentence)
-                if last and sentence.rstrip("”\"’»)] ")[-1:] in ".!?。！？":
-                    ends[last[-1].lower()] += n
-                full = shape(sentence.strip())
-                rows["s", full] += n
-                rows["c", collapsed(full)] += n
-            kinds = ["w"] * len(words) + ["e"] * len(ends) + [k for k, _ in rows]
-            items = [*words, *ends, *(x for _, x in rows)]
-            counts = [*words.values(), *ends.values(), *rows.values()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds, pa.string()), pa.array(items, pa.string()), pa.array(counts, pa.int64())], ["kind", "item", "n"]
-            )
-
-    parts = df.select(F.col(text)).mapInArrow(count, "kind string, item string, n long")
-    return parts.groupBy("kind", "item").agg(F.sum("n").alias("n"))
-
-
-def trie_nodes(words: DataFrame) -> DataFrame:
-    """Nodes of the vocabulary trie: prefix, n_below (occurrences of longer words) and n_word (of the prefix itself)."""
+                for m in _INNER_END.finditer(value):
+                    if m.end() < len(value):
+                        sentences[value[done : m.end()]] += 1
+                        done = m.end()
+                last = value[done:]
+                if not ending:
+                    sentences[last] += 1
+                    continue
+                tail = re.search(r"[^\W\d_]+$", value)
+                full = shape(last)
+                before = shape(last[: len(last) - len(tail.group())]) if tail else full
+                found.append((
+                    "v", None, None, key, source, len(text), ending, tail.group().lower() if tail else None, tokens[-1] if tokens else None, full, collapsed(full), before,
+                    value[-1], max(value.rfind("("), value.rfind("[")) > max(value.rfind(")"), value.rfind("]")),
+                ))
+            shapes = Counter()
+            for sentence, n in sentences.items():
+                last_word = _WORD.findall(sentence[-60:])
+                if last_word and sentence.rstrip("”\"’»)] ")[-1:] in ".!?。！？":
+                    ends[last_word[-1].lower()] += n
+                shapes[shape(sentence)] += n
+            short = Counter()
+            for full, n in shapes.items():
+                short[collapsed(full)] += n
+            rest = (None,) * (len(fields) - 3)
+            counted = [(kind, item, n, *rest) for kind, counts in (("w", words), ("e", ends), ("s", shapes), ("c", short)) for item, n in counts.items()]
+            columns = list(zip(*(counted + found), strict=True)) or [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], [name for name, _ in fields])
+
+    return rows.mapInArrow(count, PASS_SCHEMA)
+
+
+def trie_nodes(items: DataFrame, by: str = "") -> DataFrame:
+    """Nodes of the trie of (item, n), over signs or, with ``by``, over parts: prefix, n_below (longer items) and n_own (the prefix itself)."""
+    size = F.size(F.split("item", by)) if by else F.length("item")
+    prefix = F.expr(f"substring_index(item, '{by}', size)") if by else F.expr("substring(item, 1, size)")
     return (
-        words.select("item", "n", F.explode(F.sequence(F.lit(1), F.length("item"))).alias("size"))
-        .select(F.expr("substring(item, 1, size)").alias("prefix"), "n", (F.length("item") == F.col("size")).alias("own"))
+        items.select("item", "n", size.alias("whole"), F.explode(F.sequence(F.lit(1), F.greatest(size, F.lit(1)))).alias("size"))
+        .select(prefix.alias("prefix"), "n", (F.col("whole") == F.col("size")).alias("own"))
         .groupBy("prefix")
-        .agg(
-            F.sum(F.when(F.col("own"), 0).otherwise(F.col("n"))).alias("n_below"),
-            F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("n_word"),
-        )
+        .agg(F.sum(F.when(F.col("own"), 0).otherwise(F.col("n"))).alias("n_below"), F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("n_own"))
     )
 
 
@@ -179,64 +209,56 @@ def field_limits(lengths: DataFrame) -> DataFrame:
     )
 
 
+#: A word or sentence that occurs so rarely beside the longer ones it begins counts as unknown.
+RARE_WORD, RARE_SENTENCE = 200, 20
+#: Occurrences from which a word that never ends a sentence is taken not to end this one.
+KNOWN = 10
+
+
 def truncated_values(
     df: DataFrame, key: str = "mention_id", text: str = "citation_content", source: str = "workbook", documents: DataFrame | None = None
 ) -> DataFrame:
     """Truncated values, one row per key: (key, source, size, reason, at_limit, last_token).
 
-    ``reason``: omission (a mark of omission), word (inside a word, by the trie), sentence (before the
-    sentence is finished, by shapes and last words), open (after a mark that can't end a sentence).
+    ``reason``: omission (a mark of omission), open (after a sign or inside a bracket that can't end a sentence), word
+    (inside a word, by the trie of words), sentence (before the sentence is finished, by the trie of shapes and last words).
     """
     get = shared_repairer(df.sparkSession, documents)
     rows = df.where(F.col(text).isNotNull()).select(
         F.col(key).cast("long").alias("key"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")
     )
-    statistics = cut_lineage(_statistics(rows, "text", get))
-
-    def suspects(batch: list[dict]) -> Iterator[tuple]:
-        for r in batch:
-            if r["text"].strip().lower() in PLACEHOLDERS:
-                continue
-            value = clean(r["text"], get().restored)
-            ending = _ending(value)
-            if not ending:
-                continue
-            tail = re.search(r"[^\W\d_]+$", value)
-            final = _WORD.findall(value)
-            full = shape(last_sentence(value))
-            yield (r["key"], r["source"], len(r["text"]), ending, tail.group().lower() if tail else None,
-                   final[-1].lower() if final else None, full, collapsed(full), value[-1:])
-
-    found = arrow_pass(
-        rows, suspects,
-        "key long, source string, size int, ending string, tail string, final string, full string, short string, mark string",
-    ).dropDuplicates(["key"])
-    found = cut_lineage(found)
-    pick = lambda kind, name: statistics.where(F.col("kind") == kind).select(F.col("item").alias(f"_{name}"), F.col("n").alias(f"n_{name}"))
-    tails = found.where(F.col("tail").isNotNull()).select("tail").distinct()
-    nodes = trie_nodes(statistics.where(F.col("kind") == "w")).join(tails.withColumnRenamed("tail", "prefix"), "prefix", "left_semi")
-    limits = field_limits(rows.select("source", F.length("text").alias("size"), "key").dropDuplicates(["key"]))
-    joined = (
-        found.join(nodes, found["tail"] == nodes["prefix"], "left")
-        .join(pick("e", "final"), F.col("final") == F.col("_final"), "left")
-        .join(pick("s", "full"), F.col("full") == F.col("_full"), "left")
-        .join(pick("c", "short"), F.col("short") == F.col("_short"), "left")
-        .join(limits.withColumn("at_limit", F.lit(True)), ["source", "size"], "left")
-    )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    in_word = F.col("tail").isNotNull() & (zero("n_below") > 0) & (
-        (zero("n_word") == 0) | (zero("n_word") * 200 < zero("n_below")) & (zero("n_final") == 0)
-    )
-    unknown = (zero("n_word") == 0) & F.col("tail").isNotNull()
-    fits = (zero("n_full") > 0) & ((zero("n_final") > 0) | unknown) | (zero("n_short") >= 3) & (zero("n_final") >= 3)
+    passed = cut_lineage(_pass(rows, get))
+    counts = cut_lineage(passed.where("kind <> 'v'").groupBy("kind", "item").agg(F.sum("n").alias("n")))
+    found = cut_lineage(passed.where("kind = 'v'").drop("kind", "item", "n").dropDuplicates(["key"]))
+    of = lambda kind: counts.where(F.col("kind") == kind).select("item", "n")
+
+    def looked_up(rows: DataFrame, kind: str, by: str, column: str, name: str) -> DataFrame:
+        """Adds n_below and n_own of the node that ``column`` names, as below_name and own_name."""
+        asked = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("prefix")).distinct()
+        nodes = trie_nodes(of(kind), by).join(asked, "prefix", "left_semi")
+        nodes = nodes.select(F.col("prefix").alias(column), F.col("n_below").alias(f"below_{name}"), F.col("n_own").alias(f"own_{name}"))
+        return rows.join(nodes, column, "left").fillna(0, [f"below_{name}", f"own_{name}"])
+
+    ends = of("e").select(F.col("item").alias("final"), F.col("n").alias("n_end"))
+    known = of("w").select(F.col("item").alias("final"), F.col("n").alias("n_word"))
+    limits = field_limits(rows.select("source", F.length("text").alias("size"), "key").dropDuplicates(["key"])).withColumn("at_limit", F.lit(True))
+    joined = found.join(ends, "final", "left").join(known, "final", "left").fillna(0, ["n_end", "n_word"]).join(limits, ["source", "size"], "left").fillna(False, ["at_limit"])
+    for kind, by, column, name in (("w", "", "tail", "word"), ("s", " ", "full", "full"), ("c", " ", "short", "short"), ("s", " ", "before", "before")):
+        joined = looked_up(joined, kind, by, column, name)
+    c = F.col
+    unknown = c("tail").isNotNull() & (c("own_word") == 0)
+    fragment = c("tail").isNotNull() & (c("below_word") > 0) & ((c("own_word") == 0) | (c("own_word") * RARE_WORD < c("below_word")) & (c("n_end") == 0))
+    begun = (c("before") == "") | (c("below_before") > 0)
+    goes_on = (c("below_full") > 0) & (c("own_full") * RARE_SENTENCE < c("below_full")) | (c("own_full") == 0) & (c("below_short") >= 3) & (c("own_short") == 0)
+    function = c("final").isin(*sorted(FUNCTION_WORDS))
+    never_last = (c("n_word") >= KNOWN) & ((c("n_end") == 0) | function & (c("n_end") * RARE_WORD < c("n_word")))
     reason = (
-        F.when(F.col("ending") == "omission", "omission")
-        .when((F.col("ending") == "open") & F.col("mark").rlike(r"[,;:(\[“„«‘&/–—-]"), "open")
-        .when((F.col("ending") == "open") & in_word, "word")
-        .when(~fits, "sentence")
-        .when(unknown & F.coalesce(F.col("at_limit"), F.lit(False)), "word")
+        F.when(c("ending") == "omission", "omission")
+        .when((c("ending") == "open") & (c("mark").rlike(r"[,;:(\[“„«‘&/–—-]") | c("open")), "open")
+        .when((c("ending") == "open") & (fragment & (c("at_limit") | begun) | unknown & c("at_limit")), "word")
+        .when(goes_on, "sentence")
+        .when((c("ending") == "open") & never_last & (function | c("at_limit") | (c("below_full") > 0) | (c("below_short") > 0)), "sentence")
     )
     return joined.select(
-        F.col("key").alias(key), F.col("source").alias(source), "size", reason.alias("reason"),
-        F.coalesce(F.col("at_limit"), F.lit(False)).alias("at_limit"), F.col("final").alias("last_token"),
-    ).where(F.col("reason").isNotNull())
+        c("key").alias(key), c("source").alias(source), "size", reason.alias("reason"), "at_limit", c("final").alias("last_token")
+    ).where(c("reason").isNotNull())
