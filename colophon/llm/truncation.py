@@ -49,6 +49,8 @@ ABBREVIATED = frozenset("e.g i.e fig figs cf vs no nos vol p pp sect eq eqs tab
 
 _TOKEN = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|[^\W\d_]+(?:[-’'][^\W\d_]+)*|\d+(?:[.,:]\d+)*[a-z]?|\.\.\.|[^\w\s]")
 _WORD = re.compile(r"(?<![^\W_])[^\W\d_]+")
+#: The last token, where it is a word.
+_LAST_WORD = re.compile(r"(?<![^\W_])([^\W\d_]+)\W*$")
 _YEAR = re.compile(r"(?:1[6-9]|20)\d\d[a-z]?")
 _ET_AL = re.compile(r"\bet al\.?")
 _INNER_END = re.compile(r"(?<=[.!?;])[”\"’»)\]]*\s+(?=[“\"«(]?[^\W\d_a-zß-ÿ])|[。！？][”’」』）]*")
@@ -158,18 +160,18 @@ def _pass(rows: DataFrame, get) -> DataFrame:
                 if not ending:
                     sentences[last] += 1
                     continue
-                tail = re.search(r"[^\W\d_]+$", value)
+                tail, final = re.search(r"[^\W\d_]+$", value), _LAST_WORD.search(value[-80:])
                 full = shape(last)
                 before = shape(last[: len(last) - len(tail.group())]) if tail else full
                 found.append((
-                    "v", None, None, key, source, len(text), ending, tail.group().lower() if tail else None, tokens[-1] if tokens else None, full, collapsed(full), before,
+                    "v", None, None, key, source, len(text), ending, tail.group().lower() if tail else None, final.group(1).lower() if final else None, full, collapsed(full), before,
                     value[-1], max(value.rfind("("), value.rfind("[")) > max(value.rfind(")"), value.rfind("]")),
                 ))
             shapes = Counter()
             for sentence, n in sentences.items():
-                last_word = _WORD.findall(sentence[-60:])
+                last_word = _LAST_WORD.search(sentence[-80:])
                 if last_word and sentence.rstrip("”\"’»)] ")[-1:] in ".!?。！？":
-                    ends[last_word[-1].lower()] += n
+                    ends[last_word.group(1).lower()] += n
                 shapes[shape(sentence)] += n
             short = Counter()
             for full, n in shapes.items():
