@@ -1,10 +1,12 @@
 """Problem 8: filling fixed-capacity containers with items.
 
 Method: lexical retrieval packing. Documents are sharded (shards of about SHARD_DOCS documents of one
-language); each shard has a BM25 inverted index over token ids. The largest unused document seeds a
-container, its index returns the unused neighbours, and these fill the window greedily: the
-candidates that fill the room best come first, among them those nearest to the seed. Room that no
-neighbour fits goes to the largest unused document that does.
+language); each shard has a BM25 inverted index over token ids. Seeds are taken in pseudorandom order; the
+index returns the nearest DEPTH of the shard for a seed, and the unused ones among them fill its window greedily in
+the order of their score. A window that stays open by more than OPEN is given up: its documents fill the room
+of the others, the largest first and where they fit best, and make new containers where they fit nowhere.
+
+Space or nearness: a smaller OPEN leaves less space unused and more documents without their neighbours.
 
 A document larger than a container is cut at token positions into full pieces, each a container of
 its own, and a rest that is packed like a document; no other document is split.
@@ -15,7 +17,7 @@ several ids are packed once per id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,10 @@ SHARD_DOCS = 2000
 #: Hash buckets that make one shard.
 BUCKETS = 4
 K1, B = 1.2, 0.75
-#: Steps of the share of the room that a candidate fills; within a step the BM25 score decides.
-STEPS = 12
+#: Share of a shard's documents that count as neighbours of a seed.
+DEPTH = 0.1
+#: Share of a container that a window may leave empty.
+OPEN = 0.12
 
 
 class Bm25:
@@ -71,35 +75,47 @@ def fill(index: Bm25, sizes: np.ndarray, capacity: int) -> list[list[tuple[int,
             first[item] += 1
             rests[item] -= capacity
     unused = rests > 0
-    order = np.argsort(-rests, kind="stable")
-    for seed in order:
+    most = max(1, int(len(sizes) * DEPTH))
+    windows: list[tuple[int, list[int]]] = []
+    for seed in np.random.default_rng(len(sizes)).permutation(len(sizes)):
         if not unused[seed]:
             continue
-        chosen, room = [seed], capacity - rests[seed]
         unused[seed] = False
-        scores = None
-        while room > 0:
-            fits = np.flatnonzero(unused & (rests <= room))
-            if not len(fits):
-                break
-            if scores is None:
-                scores = index.scores(seed)
-            near = fits[scores[fits] > 0]
-            pool = near if len(near) else fits
-            step = rests[pool] * STEPS // room
-            if len(near) and step.max() < STEPS - 1 and rests[fits].max() * STEPS // room > step.max():
-                pool, step = fits, rests[fits] * STEPS // room
-            best = pool[step == step.max()]
-            pick = best[np.lexsort((best, -rests[best], -scores[best]))[0]]
-            chosen.append(pick)
-            unused[pick] = False
-            room -= rests[pick]
-        containers.append(
-            [(int(i), int(first[i]), int(first[i] * capacity), int(first[i] * capacity + rests[i])) for i in chosen]
-        )
+        chosen, room = [int(seed)], int(capacity - rests[seed])
+        scores = index.scores(seed)
+        scores[seed] = 0.0
+        near = np.argpartition(-scores, most)[:most] if most < len(scores) else np.arange(len(scores))
+        near = near[(scores[near] > 0) & unused[near]]
+        for i in near[np.lexsort((near, -scores[near]))]:
+            if rests[i] <= room:
+                chosen.append(int(i))
+                unused[i] = False
+                room -= int(rests[i])
+        windows.append((room, chosen))
+    for chosen in closed(windows, rests, capacity):
+        containers.append([(i, int(first[i]), int(first[i] * capacity), int(first[i] * capacity + rests[i])) for i in chosen])
     return containers
 
 
+def closed(windows: list[tuple[int, list[int]]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """The windows (room, items) of which at most OPEN is empty; the items of the others go, the largest first, where they fit best."""
+    out = [list(items) for room, items in windows if room <= OPEN * capacity]
+    rooms = sorted((room, n) for n, room in enumerate(r for r, _ in windows if r <= OPEN * capacity))
+    loose = [i for room, items in windows if room > OPEN * capacity for i in items]
+    for i in sorted(loose, key=lambda i: (-sizes[i], i)):
+        size = int(sizes[i])
+        at = bisect.bisect_left(rooms, (size, -1))
+        if at < len(rooms):
+            room, n = rooms.pop(at)
+            out[n].append(i)
+        else:
+            room, n = capacity, len(out)
+            out.append([i])
+        if room > size:
+            bisect.insort(rooms, (room - size, n))
+    return out
+
+
 def pack(
     documents: DataFrame, capacities: dict[str, int], key: str = "doc_id", text: str = "text", lang: str = "lang", path: str = TOKENIZER
 ) -> DataFrame:
