@@ -4,8 +4,11 @@ Method: every candidate chain of re-decodings is compressed with per-language zs
 dictionaries; the chain with the minimum description length, its own cost included, is taken,
 and the text is left unchanged where no chain is shorter.
 
-A candidate replaces only the parts whose characters spell valid UTF-8 in the wrong code
-page, so text that is garbled in part is restored in part. Signs of a decoding that lost
+Candidates are all pairs of a code page that a text was read in and the encoding it was written in: UTF-8 read in a
+single-byte page or in GBK, and texts in Cyrillic, Greek, Thai, Arabic, Japanese, Chinese or Korean encodings read in a
+single-byte page. Pages of Latin script read in one another differ in single letters of a word and are no candidates.
+A candidate replaces only the parts whose characters are bytes of the other encoding, so text that is garbled in part
+is restored in part. Signs of a decoding that lost
 bytes (the replacement character, control characters of the C1 range, private-use characters)
 mark a value as garbled even where nothing can be restored.
 
@@ -25,7 +28,20 @@ from pyspark.sql import functions as F
 from colophon.plans.runtime import arrow_pass
 
 #: Code pages that a UTF-8 text is often read with. cp1252 also takes the C1 controls that Latin-1 leaves.
-SINGLE_BYTE = ("cp1252", "mac_roman", "cp1251", "cp850", "cp437")
+SINGLE_BYTE = ("cp1252", "mac_roman", "cp1251", "cp850", "cp437", "iso8859-2", "koi8-r")
+#: Other encodings of a text that was read in a single-byte page, with the scripts (first words of character names) they are written for.
+WRITTEN = {
+    "cp1251": ("CYRILLIC",), "koi8-r": ("CYRILLIC",), "cp866": ("CYRILLIC",), "cp1253": ("GREEK",), "cp874": ("THAI",), "cp1256": ("ARABIC",),
+    "shift_jis": ("CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "IDEOGRAPHIC"), "euc_jp": ("CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "IDEOGRAPHIC"),
+    "gb18030": ("CJK", "IDEOGRAPHIC"), "big5": ("CJK", "IDEOGRAPHIC"), "euc_kr": ("HANGUL",),
+}
+#: Encodings in which a second byte may be an ASCII sign, and those with two bytes a character.
+MIXED, WIDE = ("shift_jis", "big5", "gb18030"), ("shift_jis", "euc_jp", "gb18030", "big5", "euc_kr")
+#: Code pages that such a text is read in.
+READ = ("cp1252", "cp1251", "koi8-r", "mac_roman", "cp850", "cp1250", "iso8859-2")
+#: Bytes of a part that such a candidate must have, its cost, and the share of the description that it must save: any
+#: bytes are text in these encodings, so a small gain proves nothing.
+LEGACY_BYTES, LEGACY_COST, LEGACY_SHARE = 5, 2.0, 0.12
 DOUBLE_BYTE = ("gbk",)
 #: Description length of one more decoding step, in bytes, and of each raw byte beside its compressed size:
 #: compressed sizes are whole bytes, so that a change of one sign would often be lost.
@@ -39,21 +55,45 @@ LANGUAGES = ("en", "de", "fr", "es", "ru", "el", "zh", "ja", "th", "ar", "hi")
 # Correct text that the dictionaries should know besides their samples.
 SEED_TEXT = "“”‘’–—…€£§°±²³½¼¾µμ×÷≥≤≠≈→•·αβγδλπσΩéèêëàâäáãåæçñöóòôøõüúùûîïíìßÉÀÄÅÇÑÖØÜŁłŠšŽžŻżĂăÎîȘșȚț«»¿¡™®© "
 
+#: Neighbouring signs of single-byte pages, as in text of another script read in one.
+_HIGH_RUN = re.compile("[\u0080-\u052f\u2010-\u20ff\u2100-\u25ff]{3}")
 _LOST = re.compile("[\ufffd\u0080-\u009f\ue000-\uf8ff]")
 _HAN_RUN = re.compile("[\u2460-\u24ff\u2500-\u25ff\u2605\u2606\u2e80-\u9fff\uac00-\ud7af\ue000-\uf8ff\uff01-\uffef\u2103\u2109\u2116\u2160-\u217f]+")
 
 
+#: Letters that hardly any text has but that two chance bytes often give: phonetic and modifier letters, rare Latin ones.
+_RARE = re.compile("[\u0180-\u0191\u0193-\u01cc\u01dd-\u0217\u021c-\u02c5\u02c7-\u02db\u02dd-\u02ff\u0305\u030d-\u031a\u031c-\u0322\u0324-\u0326\u0329-\u037f\u0460-\u0489\u048a-\u052f\u07c0-\u07ff]")
+
+
 def _plausible(text: str, start: int, end: int, new: str) -> bool:
-    """Decoded signs must be assigned; inside a word of Latin letters only such letters (or Greek ones) fit."""
-    if any(unicodedata.category(c) in ("Cn", "Cs", "Co") or c < "\u0080" and c.isascii() and not c.isprintable() for c in new):
+    """Whether decoded signs may stand where they do: assigned, not rare, and of the script of the letters beside them.
+
+    Inside a word of Latin letters only such letters (or Greek ones) fit; a combining mark needs a letter before it.
+    """
+    if _RARE.search(new) or any(unicodedata.category(c) in ("Cn", "Cs", "Co") or c < "\u0080" and c.isascii() and not c.isprintable() for c in new):
+        return False
+    left = text[start - 1 : start]
+    if unicodedata.category(new[0]) == "Mn" and not (left.isascii() and left.isalpha()):
+        return False
+    # one letter of a script whose letters stand together, or a control sign of lost bytes beside the part, is chance
+    if len(new) == 1 and ("\u0530" <= new <= "\u0e7f" or script(new) == "HANGUL" or _CONTROL.match(left) or _CONTROL.match(text[end : end + 1])):
         return False
     for side, ch in ((text[start - 1 : start], new[0]), (text[end : end + 1], new[-1])):
-        if side.isascii() and side.isalpha() and unicodedata.category(ch)[0] in "LM":
-            if unicodedata.name(ch, "").split(" ", 1)[0] not in ("LATIN", "GREEK"):
+        if side.isalpha() and unicodedata.category(ch)[0] in "LM" and script(ch) not in ("COMBINING", "ANGSTROM", "KELVIN", "MICRO"):
+            fits = ("LATIN", "GREEK", "MICRO") if side.isascii() else (script(side), *EAST_ASIAN) if script(side) in EAST_ASIAN else (script(side),)
+            if script(ch) not in fits:
                 return False
     return True
 
 
+_CONTROL = re.compile("[\u0080-\u009f]")
+EAST_ASIAN = ("CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "HANGUL", "IDEOGRAPHIC")
+
+
+def script(ch: str) -> str:
+    return unicodedata.name(ch, "").split(" ", 1)[0]
+
+
 class CodePage:
     """How UTF-8 bytes look when they are read in a single-byte code page."""
 
@@ -75,6 +115,11 @@ class CodePage:
         self.shape = re.compile(
             f"(?:{group(0xC2, 0xE0)}{tail}|{group(0xE0, 0xF0)}{tail}{{2}}|{group(0xF0, 0xF5)}{tail}{{3}})+"
         )
+        high = group(0x80, 0x100)
+        # words of high bytes only; and for two-byte encodings what stands between white space
+        self.words = re.compile(f"{high}+(?:[ ,.:;-]{{1,2}}{high}+)*")
+        self.tokens = re.compile(f"{high}(?:{high}|[\x40-\x7e])*")
+        self.high = re.compile(high)
 
     def decode(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
         """The text with every part that spells UTF-8 decoded, and these parts."""
@@ -86,7 +131,9 @@ class CodePage:
                 new = raw.decode("utf-8")
             except UnicodeDecodeError:
                 return m.group()
-            if not _plausible(text, m.start(), m.end(), new):
+            # a letter of the page beside the part was no UTF-8, so the part is hardly any
+            beside = (text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1])
+            if any(c.isalpha() and c in self.byte_of for c in beside) or not _plausible(text, m.start(), m.end(), new):
                 return m.group()
             parts.append((m.start(), m.end(), new))
             return new
@@ -94,6 +141,49 @@ class CodePage:
         return self.shape.sub(put, text), parts
 
 
+#: Quotes and dashes around a part that are no bytes of it.
+_QUOTES = "“”‘’«»–—… ,.:;-"
+
+
+def _written(new: str, scripts: tuple[str, ...]) -> bool:
+    """Whether a decoded part reads like text of one of the scripts: no other letters, no signs of no use, capitals only where words begin."""
+    letters = 0
+    for i, ch in enumerate(new):
+        kind = unicodedata.category(ch)
+        if kind[0] in "LM":
+            if script(ch) not in scripts and not (ch.isascii() and len(scripts) > 1):
+                return False
+            if kind == "Lu" and i and unicodedata.category(new[i - 1]) == "Ll":
+                return False
+            letters += not ch.isascii()
+        elif not (ch in " ,.:;-()、。「」・ー，：；（）" or kind in ("Nd", "Po", "Ps", "Pe")):
+            return False
+    return letters >= 2 and 2 * letters >= len(new) - new.count(" ")
+
+
+def decode_written(text: str, page: CodePage, codec: str) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text with every part that was read in ``page`` but reads well in ``codec`` decoded, and these parts."""
+    parts, out, done = [], [], 0
+    for m in (page.tokens if codec in MIXED else page.words).finditer(text):
+        part = m.group()
+        start = m.start()
+        outer = _QUOTES[:6] if codec in MIXED else _QUOTES
+        start += len(part) - len(part.lstrip(outer))
+        part = part.strip(outer)
+        if len(part) < LEGACY_BYTES or len(page.high.findall(part)) < (LEGACY_BYTES + 1) // 2:
+            continue
+        try:
+            new = bytes(page.byte_of.get(c, ord(c) & 0xFF) for c in part).decode(codec)
+        except UnicodeDecodeError:
+            continue
+        if not _written(new, WRITTEN[codec]) or any(_written(part, (own,)) and WRITTEN[codec] != (own,) for own in ("CYRILLIC", "GREEK")):
+            continue
+        parts.append((start, start + len(part), new))
+        out += [text[done:start], new]
+        done = start + len(part)
+    return "".join(out) + text[done:], parts
+
+
 def _utf8_prefix(raw: bytes) -> tuple[str, bool]:
     """Decoded text of bytes that may end inside a character, and whether they are such UTF-8."""
     for cut in range(min(4, len(raw) + 1)):
@@ -119,6 +209,9 @@ def decode_double(text: str, codec: str = "gbk") -> tuple[str, list[tuple[int, i
         except UnicodeEncodeError:
             continue
         new, fits = _utf8_prefix(raw)
+        # two bytes are valid UTF-8 by chance: such a letter must stand in a word, or be a common sign
+        if len(raw) == 2 and not lost and new and not (text[start - 1 : start].isalpha() or text[end : end + 1].isalpha() or new in SEED_TEXT):
+            continue
         # an incomplete last character is only taken where the sign of lost bytes follows
         if not fits or not new or new.endswith("\ufffd") and not lost:
             continue
@@ -136,7 +229,9 @@ class Repairer:
 
     def __init__(self, samples: dict[str, str]):
         self.pages = [CodePage(n) for n in SINGLE_BYTE]
+        self.read = [CodePage(n) for n in READ]
         texts = {lang: samples.get(lang, "") + SEED_TEXT for lang in LANGUAGES}
+        self.known = set().union(*texts.values())
         self.compressors = []
         for text in texts.values():
             raw = text.encode("utf-8")
@@ -151,7 +246,7 @@ class Repairer:
         raw = text.encode("utf-8", "surrogatepass")
         return min(len(c.compress(raw)) for c in self.compressors)
 
-    def gain(self, old: str, new: str) -> float:
+    def gain(self, old: str, new: str, by_bytes: bool = True) -> float:
         """Bytes by which ``new`` is shorter than ``old``, over the part in which they differ.
 
         Equal ends are left out but for WINDOW characters of context: a small change isn't
@@ -162,7 +257,7 @@ class Repairer:
         tail = next((i for i in range(limit - head) if old[-1 - i] != new[-1 - i]), limit - head)
         head, tail = max(0, head - WINDOW), max(0, tail - WINDOW)
         old, new = old[head : len(old) - tail], new[head : len(new) - tail]
-        raw = len(old.encode("utf-8", "surrogatepass")) - len(new.encode("utf-8", "surrogatepass"))
+        raw = len(old.encode("utf-8", "surrogatepass")) - len(new.encode("utf-8", "surrogatepass")) if by_bytes else 0
         return self.length(old) - self.length(new) + RAW_BYTE_COST * raw
 
     def candidates(self, text: str) -> dict[str, tuple[tuple[str, ...], list[tuple[int, int, str]]]]:
@@ -174,7 +269,10 @@ class Repairer:
             for old, (chain, _) in level.items():
                 if old.isascii():
                     continue
+                # a text is read wrongly in the same page again, or in the most common one
                 for page in self.pages:
+                    if chain and page.name not in (*chain, "cp1252") and chain[-1] != "cp1252":
+                        continue
                     new, parts = page.decode(old)
                     if parts and new not in found and new not in following:
                         following[new] = ((*chain, page.name), parts)
@@ -184,6 +282,13 @@ class Repairer:
                         following[new] = ((*chain, codec), parts)
             found |= following
             level = following
+        if _HIGH_RUN.search(text):
+            for page in self.read:
+                for codec in WRITTEN:
+                    if codec != page.name:
+                        new, parts = decode_written(text, page, codec)
+                        if parts and new not in found:
+                            found[new] = ((f"{page.name}/{codec}",), parts)
         return found
 
     def repair(self, text: str | None) -> tuple[bool, str | None, str, bool]:
@@ -193,7 +298,13 @@ class Repairer:
         found = self.candidates(text)
         best, chain, least = text, (), 0.0
         for new, (steps, _) in sorted(found.items(), key=lambda x: len(x[1][0])):
-            gain = self.gain(text, new) - STEP_COST * len(steps)
+            legacy = "/" in steps[0]
+            gain = self.gain(text, new, not legacy) - STEP_COST * len(steps)
+            if legacy:
+                whole = sum(b - a for a, b, _ in found[new][1])
+                # a dictionary knows words of two signs or more; a sign that no sample has costs a byte more
+                strange = sum(c not in self.known for _, _, part in found[new][1] for c in part)
+                gain -= LEGACY_COST + LEGACY_SHARE * whole + strange
             if gain > least:
                 best, chain, least = new, steps, gain
         garbled = bool(chain) or bool(_LOST.search(text))
