@@ -4,6 +4,11 @@ Method: normalization quick-check properties isolate the unstable segments of a
 those segments are normalised, together with their boundary context (the whole word and its
 neighbour words), and the canonical segments are spliced into the text that was left alone.
 
+The properties are taken from the Unicode database: NFC_QC is No for a sign that NFC changes and Maybe for a second
+part of a composition; NFKC counts for signs whose compatibility form is the same letters, digits or spaces in
+another width, font, joining or contextual form. Besides these, signs that don't show, special spaces and hyphens, and
+letters of scripts that have look-alikes of Latin ones are looked at.
+
 Defined cases: NULL stays NULL and empty text stays empty; both count as unchanged.
 """
 
@@ -11,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -32,14 +38,62 @@ JOINERS = "‌‍"
 SPACES = "   -   　"
 HYPHENS = "‐‑﹣"
 
-# Unstable under the quick check, or one of the above: the only places that are looked at.
-UNSTABLE_CLASS = (
-    INVISIBLE + JOINERS + SPACES + HYPHENS
-    + "ĲĳǄ-ǌǱ-ǳ̀-ͯͰ-ϿЀ-ԯٓ-़ٕ"
-    + "ᄀ-ᇿ᷀-᷿⃐-⃿ΩKÅ⼀-⿟゙゚"
-    + "豈-﫿ﬀ-﷿ﹰ-ﻼ！-￯"
+# Look-alikes of Latin letters in scripts whose other letters look unlike them.
+OTHER_AS_LATIN = dict(
+    zip(
+        "ոսօհյցզքԼՕՏ" + "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏚᏙᏢᏦᏟᏞᎥᏏ" + "ⲞⲟⲢⲣⲤⲥⲬⲭⲔⲘⲚⲎⲦⲂ" + "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ" + "ɡɑᴄᴏᴠᴡᴢ",
+        "nuohjgqpLOS" + "DRTAJEWMHGZSVPKCLib" + "OoPpCcXxKMNHTB" + "BPDTGKJCZFMNLSRVHWXYAEIOU" + "gacovwz", strict=True,
+    )
 )
-_UNSTABLE = re.compile(f"[{UNSTABLE_CLASS}\U0001d400-\U0001d7ff]")
+AS_LATIN |= OTHER_AS_LATIN
+#: Compatibility forms that look like the letters, digits or spaces they stand for.
+LIKE = ("<wide>", "<narrow>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>", "<noBreak>", "<compat>")
+#: Signs of their own that have such a form: letter-like symbols, the micro sign, the long s, enclosed and squared signs, radicals.
+SYMBOLS = re.compile("[\u00b5\u017f\u0675-\u0678\u0e33\u0eb3\u1e9a\u1e9b\u2100-\u214f\u2180-\u218b\u2460-\u24ff\u3130-\u318f\u3200-\u33ff\U0001f100-\U0001f2ff]")
+
+
+def composition_seconds() -> set[str]:
+    """Signs that compose with one before them (NFC_QC=Maybe)."""
+    out = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for c in map(chr, range(0xC0, 0x1_2000)):
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and not parts[0].startswith("<") and unicodedata.is_normalized("NFC", c):
+            out.add(chr(int(parts[1], 16)))
+    return out
+
+
+def compatible(ch: str) -> bool:
+    """Whether a sign only differs in width, font, joining or form from the letters, digits, marks or spaces it stands for."""
+    kind = unicodedata.decomposition(ch).split(" ", 1)[0]
+    if kind not in LIKE or SYMBOLS.match(ch):
+        return False
+    plain = unicodedata.normalize("NFKC", ch)
+    return kind in ("<wide>", "<narrow>", "<noBreak>") or all(c.isalnum() or unicodedata.category(c)[0] == "M" for c in plain)
+
+
+def unstable_signs() -> set[str]:
+    """All signs at which a value is looked at, by the properties and the lists above."""
+    signs = composition_seconds() | set(AS_LATIN) | set(JOINERS + HYPHENS)
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x1_2000), *range(0x1_D400, 0x1_F300), *range(0x2_F800, 0x2_FA20))):
+        if not unicodedata.is_normalized("NFC", c) or compatible(c):
+            signs.add(c)
+    return signs
+
+
+def as_class(signs: set[str]) -> str:
+    """Ranges of a character class."""
+    codes, out = sorted(map(ord, signs)), []
+    for code in codes:
+        if out and code == out[-1][1] + 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+#: Greek and Cyrillic as a whole: a word of one of them with a Latin letter inside is unstable, too.
+UNSTABLE_CLASS = INVISIBLE + SPACES + "Ͱ-ϿЀ-ԯ" + as_class(unstable_signs())
+_UNSTABLE = re.compile(f"[{UNSTABLE_CLASS}]")
 _DELETE = re.compile(f"[{INVISIBLE}]")
 _SPACE = re.compile(f"[{SPACES}]")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -47,7 +101,7 @@ _JOINED_SCRIPTS = ("ARABIC", "SYRIAC", "DEVANAGARI", "BENGALI", "GUJARATI", "GUR
                    "ORIYA", "SINHALA", "TAMIL", "TELUGU", "MONGOLIAN", "KHMER", "MYANMAR", "TIBETAN")
 
 
-@lru_cache(maxsize=65536)
+@lru_cache(maxsize=4096)
 def script_of(ch: str) -> str:
     """First word of the character's name: its script, for letters."""
     return unicodedata.name(ch, "").split(" ", 1)[0]
@@ -102,7 +156,7 @@ def _characters(text: str, start: int, end: int) -> str:
             out.append("-")
         elif "\uff01" <= ch <= "\uffef":
             out.append(_narrow_width(text, i))
-        elif ch >= "\U0001d400" or "\ufb00" <= ch <= "\ufdff" or "\ufe70" <= ch <= "\ufefc" or "\u2f00" <= ch <= "\u2fdf" or ch in "\u0132\u0133" or "\u01c4" <= ch <= "\u01f3":
+        elif compatible(ch):
             out.append(unicodedata.normalize("NFKC", ch))
         else:
             out.append(ch)
@@ -172,14 +226,15 @@ def canonical(text: str | None) -> str | None:
 
 
 def unstable(column: Column) -> Column:
-    """JVM test of the quick check: may hold an unstable segment. NULL counts as stable."""
-    return F.coalesce(column.rlike("[" + UNSTABLE_CLASS + "\\x{1d400}-\\x{1d7ff}]"), F.lit(False))
+    """JVM test that keeps most values out of Python: whether a value has more than ASCII signs. NULL counts as stable."""
+    return F.coalesce(F.octet_length(column) != F.length(column), F.lit(False))
 
 
-def canonical_values(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+def canonical_values(df: DataFrame, key: str, fields: list[str], leave: dict[str, Callable[[str], bool]] | None = None) -> DataFrame:
     """Changed values only: (key, field_name, original, canonical), one row per key, field and value.
 
-    Rows that pass the quick check never leave the JVM; repeated rows give repeated output.
+    Values of ASCII signs never leave the JVM; repeated rows give repeated output. ``leave`` has a test per field for
+    changed values that are left out.
     """
     cells = None
     for field in fields:
@@ -187,12 +242,14 @@ def canonical_values(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
             F.col(key).cast("long").alias("key"), F.lit(field).alias("field_name"), F.col(field).alias("original")
         )
         cells = part if cells is None else cells.unionAll(part)
+    tests = leave or {}
 
     def rows(batch):
         for r in batch:
-            new = canonical(r["original"])
-            if new != r["original"]:
-                yield r["key"], r["field_name"], r["original"], new
+            field, old = r["field_name"], r["original"]
+            new = canonical(old)
+            if new != old and not (field in tests and tests[field](old)):
+                yield r["key"], field, old, new
 
     return arrow_pass(cells, rows, "key long, field_name string, original string, canonical string")
 

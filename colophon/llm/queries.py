@@ -103,11 +103,10 @@ def p5_split_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    changed = lookalike.canonical_values(_rows(spark, sf, "mention_id", *FIELDS_6), "mention_id", FIELDS_6)
-    content = changed.where("field_name = 'citation_content'")
-    garbled = encoding.garbled_values(content, "key", "original", _documents(spark, sf)).select("key").distinct()
-    kept = content.join(garbled, "key", "left_anti").unionAll(changed.where("field_name <> 'citation_content'"))
-    return kept.select(F.col("key").alias("mention_id"), "field_name").distinct()
+    get = encoding.shared_repairer(spark, _documents(spark, sf))
+    leave = {"citation_content": lambda text: get().repair(text)[0]}
+    changed = lookalike.canonical_values(_rows(spark, sf, "mention_id", *FIELDS_6), "mention_id", FIELDS_6, leave)
+    return changed.select(F.col("key").alias("mention_id"), "field_name").distinct()
 
 
 def p6_canonical(spark: SparkSession, sf: str) -> DataFrame:
