@@ -38,7 +38,7 @@ OPEN = 0.12
 
 
 class Bm25:
-    """Inverted index of one shard."""
+    """Inverted index of one shard. Terms of at least half of the documents have no positive weight and aren't indexed."""
 
     def __init__(self, terms: list[np.ndarray], freqs: list[np.ndarray], sizes: np.ndarray):
         self.terms, self.n = terms, len(terms)
@@ -47,13 +47,16 @@ class Bm25:
         flat = np.concatenate(terms) if self.n else np.empty(0, np.int32)
         tf = np.concatenate(freqs).astype(np.float64) if self.n else np.empty(0)
         self.ids, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
-        idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
+        idf = np.log((self.n - df + 0.5) / (df + 0.5))
+        kept = (idf > 0)[inverse]
+        docs, tf, inverse = docs[kept], tf[kept], inverse[kept]
         mean = sizes.mean() if self.n else 1.0
         weight = idf[inverse] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[docs] / mean))
         order = np.argsort(inverse, kind="stable")
         self.docs, self.weights = docs[order], weight[order]
-        self.starts = np.concatenate([[0], np.cumsum(df)])
-        self.rows = np.split(inverse, np.cumsum(lengths)[:-1]) if self.n else []
+        self.starts = np.concatenate([[0], np.cumsum(np.where(idf > 0, df, 0))])
+        self.rows = np.split(inverse, np.cumsum(np.bincount(docs, minlength=self.n))[:-1]) if self.n else []
+        self.found: dict[int, np.ndarray] = {}
 
     def scores(self, doc: int) -> np.ndarray:
         """BM25 scores of all documents of the shard for the terms of one of them."""
@@ -64,6 +67,18 @@ class Bm25:
         return np.bincount(docs, np.concatenate([self.weights[s] for s in spans]), self.n)
 
 
+    def nearest(self, doc: int) -> np.ndarray:
+        """The documents of the highest scores for one of them, the best first: DEPTH of the shard at most. Kept, as each capacity asks again."""
+        if doc not in self.found:
+            scores = self.scores(doc)
+            scores[doc] = 0.0
+            most = max(1, int(self.n * DEPTH))
+            near = np.argpartition(-scores, most)[:most] if most < self.n else np.arange(self.n)
+            near = near[scores[near] > 0]
+            self.found[doc] = near[np.lexsort((near, -scores[near]))].astype(np.int32)
+        return self.found[doc]
+
+
 def fill(index: Bm25, sizes: np.ndarray, capacity: int) -> list[list[tuple[int, int, int, int]]]:
     """Containers of (item, piece_no, from, to) over the items of a shard."""
     containers, rests = [], sizes.astype(np.int64).copy()
@@ -75,18 +90,14 @@ def fill(index: Bm25, sizes: np.ndarray, capacity: int) -> list[list[tuple[int,
             first[item] += 1
             rests[item] -= capacity
     unused = rests > 0
-    most = max(1, int(len(sizes) * DEPTH))
     windows: list[tuple[int, list[int]]] = []
     for seed in np.random.default_rng(len(sizes)).permutation(len(sizes)):
         if not unused[seed]:
             continue
         unused[seed] = False
         chosen, room = [int(seed)], int(capacity - rests[seed])
-        scores = index.scores(seed)
-        scores[seed] = 0.0
-        near = np.argpartition(-scores, most)[:most] if most < len(scores) else np.arange(len(scores))
-        near = near[(scores[near] > 0) & unused[near]]
-        for i in near[np.lexsort((near, -scores[near]))]:
+        near = index.nearest(int(seed)) if room else np.empty(0, np.int32)
+        for i in near[unused[near] & (rests[near] <= room)]:
             if rests[i] <= room:
                 chosen.append(int(i))
                 unused[i] = False

@@ -234,19 +234,23 @@ def truncated_values(
     found = cut_lineage(passed.where("kind = 'v'").drop("kind", "item", "n").dropDuplicates(["key"]))
     of = lambda kind: counts.where(F.col("kind") == kind).select("item", "n")
 
-    def looked_up(rows: DataFrame, kind: str, by: str, column: str, name: str) -> DataFrame:
-        """Adds n_below and n_own of the node that ``column`` names, as below_name and own_name."""
-        asked = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("prefix")).distinct()
+    def looked_up(rows: DataFrame, kind: str, by: str, columns: dict[str, str]) -> DataFrame:
+        """Adds n_below and n_own of the node that each column names, as below_name and own_name; the trie is made once."""
+        asked = rows.select(F.explode(F.array(*columns)).alias("prefix")).where(F.col("prefix").isNotNull()).distinct()
         nodes = trie_nodes(of(kind), by).join(asked, "prefix", "left_semi")
-        nodes = nodes.select(F.col("prefix").alias(column), F.col("n_below").alias(f"below_{name}"), F.col("n_own").alias(f"own_{name}"))
-        return rows.join(nodes, column, "left").fillna(0, [f"below_{name}", f"own_{name}"])
-
-    ends = of("e").select(F.col("item").alias("final"), F.col("n").alias("n_end"))
-    known = of("w").select(F.col("item").alias("final"), F.col("n").alias("n_word"))
+        nodes = cut_lineage(nodes) if len(columns) > 1 else nodes
+        for column, name in columns.items():
+            named = nodes.select(F.col("prefix").alias(column), F.col("n_below").alias(f"below_{name}"), F.col("n_own").alias(f"own_{name}"))
+            rows = rows.join(named, column, "left").fillna(0, [f"below_{name}", f"own_{name}"])
+        return rows
+
+    last = counts.where("kind in ('e', 'w')").groupBy(F.col("item").alias("final")).agg(
+        F.coalesce(F.sum(F.when(F.col("kind") == "e", F.col("n"))), F.lit(0)).alias("n_end"), F.coalesce(F.sum(F.when(F.col("kind") == "w", F.col("n"))), F.lit(0)).alias("n_word")
+    )
     limits = field_limits(rows.select("source", F.length("text").alias("size"), "key").dropDuplicates(["key"])).withColumn("at_limit", F.lit(True))
-    joined = found.join(ends, "final", "left").join(known, "final", "left").fillna(0, ["n_end", "n_word"]).join(limits, ["source", "size"], "left").fillna(False, ["at_limit"])
-    for kind, by, column, name in (("w", "", "tail", "word"), ("s", " ", "full", "full"), ("c", " ", "short", "short"), ("s", " ", "before", "before")):
-        joined = looked_up(joined, kind, by, column, name)
+    joined = found.join(last, "final", "left").fillna(0, ["n_end", "n_word"]).join(limits, ["source", "size"], "left").fillna(False, ["at_limit"])
+    for kind, by, columns in (("w", "", {"tail": "word"}), ("s", " ", {"full": "full", "before": "before"}), ("c", " ", {"short": "short"})):
+        joined = looked_up(joined, kind, by, columns)
     c = F.col
     unknown = c("tail").isNotNull() & (c("own_word") == 0)
     fragment = c("tail").isNotNull() & (c("below_word") > 0) & ((c("own_word") == 0) | (c("own_word") * RARE_WORD < c("below_word")) & (c("n_end") == 0))

@@ -6,17 +6,17 @@ DATA = "/root/testdata/sf0.01"
 
 
 def test_bm25_scores_agree_with_the_formula():
-    terms = [np.array([1, 2, 5]), np.array([2, 3]), np.array([1, 9]), np.array([], int)]
-    freqs = [np.array([2, 1, 1]), np.array([3, 1]), np.array([1, 1]), np.array([], int)]
-    sizes = np.array([4, 4, 2, 0])
+    terms = [np.array([1, 2, 5]), np.array([2, 3, 5]), np.array([1, 5, 9]), np.array([], int), np.array([5]), np.array([5])]
+    freqs = [np.array([2, 1, 1]), np.array([3, 1, 1]), np.array([1, 1, 1]), np.array([], int), np.array([1]), np.array([1])]
+    sizes = np.array([4, 5, 3, 0, 1, 1])
     got = packing.Bm25(terms, freqs, sizes).scores(0)
-    for d in range(4):
+    for d in range(6):
         want = 0.0
         for t in terms[0]:
             if t in terms[d]:
                 df = sum(t in x for x in terms)
                 tf = freqs[d][list(terms[d]).index(t)]
-                want += np.log(1 + (4 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sizes[d] / sizes.mean()))
+                want += max(0.0, np.log((6 - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sizes[d] / sizes.mean()))
         assert abs(got[d] - want) < 1e-9
 
 
