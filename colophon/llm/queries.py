@@ -165,7 +165,7 @@ def p10_units(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p10_units(spark, sf).select("doc_id", "sent_start")
+    return sentences.sentence_units(_documents(spark, sf), sentence=False).select("doc_id", "sent_start")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -201,6 +201,29 @@ def _tables(fragment: str, ahead: str, lang: str) -> list:
     return []
 
 
+#: The plain cases, told by the signs around a stop before any table is read; every table comes to the same.
+#: A break: after a word of lower-case Latin letters that is no abbreviation of any language, or after a bracket, before
+#: white space and a capital. No break: a full stop with a digit, a small letter or a mark right behind it, 'et al.' before a bracket, and a semicolon in Latin text.
+_SHORT = frozenset(w.split(".")[-1].lower() for known in ABBREVIATIONS.values() for group in known.values() for w in group.split()) | frozenset(LATIN_INNER.lower().split())
+_PLAIN_BEFORE = re.compile(r"(?:(?<![^\W\d_])([A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]{2,})|[\d%][)\]]|(?<=[a-z] )\d{4})[.!?]\Z")
+_PLAIN_AFTER = re.compile(r"\s+[A-ZÀ-ÖØ-Þ]")
+_INSIDE = frozenset("0123456789abcdefghijklmnopqrstuvwxyz,;:")
+
+
+def _plain(text: str, start: int, position: int, sign: str) -> bool | None:
+    """The decision of a plain case; None where the tables decide."""
+    if sign == "." and text[position] in _INSIDE:
+        return JOIN
+    if sign == ";" and "a" <= text[position - 2 : position - 1].lower() <= "z":
+        return JOIN
+    if sign == "." and text[position : position + 2] in (" (", " [") and text[max(start, position - 6) : position] == "et al.":
+        return JOIN
+    m = _PLAIN_BEFORE.search(text, max(start, position - 24), position)
+    if m and (m.group(1) is None or m.group(1).lower() not in _SHORT) and _PLAIN_AFTER.match(text, position):
+        return BREAK
+    return None
+
+
 def _decide(text: str, position: int, fragment: str, lang: str) -> bool:
     before, after = text[max(0, position - BEFORE) : position], text[position : position + AFTER]
     for tab in (*_tables(fragment, text[position : position + AHEAD], lang), COMMON_TABLE):
@@ -229,7 +252,9 @@ def sentence_spans(text: str | None, lang: str | None = None) -> list[tuple[int,
         elif m.lastgroup == "thai":
             cut = not (_THAI_SIDE.match(text[m.start() - 1]) or _THAI_SIDE.match(text[m.end()]))
         else:
-            cut = m.end() < len(text) and _decide(text, m.end(), text[start : m.end()], lang)
+            cut = m.end() < len(text) and _plain(text, start, m.end(), m.group())
+            if cut is None:
+                cut = _decide(text, m.end(), text[start : m.end()], lang)
         if cut:
             cuts.append(m.end())
             start = m.end()
@@ -243,8 +268,8 @@ def sentence_spans(text: str | None, lang: str | None = None) -> list[tuple[int,
     return spans
 
 
-def sentence_units(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
-    """One row per sentence unit: key, sent_no, sent_start, sent_end, sentence. A narrow pass without shuffle."""
+def sentence_units(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang", sentence: bool = True) -> DataFrame:
+    """One row per sentence unit: key, sent_no, sent_start, sent_end and, unless it isn't wanted, sentence. A narrow pass without shuffle."""
     source = documents.where(F.col(text).isNotNull()).select(
         F.col(key).cast("long").alias("key"), F.col(text).alias("text"),
         (F.col(lang) if lang else F.lit(None).cast("string")).alias("lang"),
@@ -253,7 +278,8 @@ def sentence_units(documents: DataFrame, key: str = "doc_id", text: str = "text"
     def rows(batch: list[dict]) -> Iterator[tuple]:
         for r in batch:
             for n, (a, b) in enumerate(sentence_spans(r["text"], r["lang"])):
-                yield r["key"], n, a, b, r["text"][a:b]
+                yield (r["key"], n, a, b, r["text"][a:b]) if sentence else (r["key"], n, a, b)
 
-    out = arrow_pass(source, rows, "key long, sent_no int, sent_start long, sent_end long, sentence string")
+    schema = "key long, sent_no int, sent_start long, sent_end long"
+    out = arrow_pass(source, rows, schema + ", sentence string" if sentence else schema)
     return out.withColumnRenamed("key", key)
