@@ -1,28 +1,32 @@
 """Problem 2: schemas that drift between files.
 
-Method: the schema of a file is a tree (root, fields, keys of object fields). The edit distance
+Method: the schema of a file is a tree (root, fields, nested keys of object fields as paths). The edit distance
 between the trees of consecutive files of a series gives the cheapest script of add, delete, rename
 and retype steps: a rename costs less than delete plus add only as far as the values of the rows
-that both files carry agree. Trees are unordered and two levels deep, so the distance is a
-minimum-cost assignment of the fields that differ. The scripts are applied along each series, which
-gives the field of every header of every file, and all files are read through these into one table;
-names (and values, where a name alone doesn't tell) match the fields of different series.
+that both files carry agree, and more the more nested keys differ. Fields are unordered, so the distance is a
+minimum-cost assignment of the fields that differ; a key that moves to another level is a deleted and an added field.
+The scripts are applied along each series and compiled into one projection per file (header to field), which is
+applied to each row as it is read; names (and values, where a name alone doesn't tell) match the fields of
+different series.
 
-Only headers, counts and sketches of fixed size meet in one task; rows and values are compared in
-joins on (file pair, row).
+Passes over the rows: one that reduces each batch to counts and sketches of fixed size per file, header and kind; one
+that gives the cells of the headers which a file lost or won; and the projection. No row is unfolded into all its cells.
 
 Defined cases: NULL or invalid JSON and JSON that isn't an object have no fields, but their rows are in
-the table; rows that arrive twice count once (rows without a number if their payloads are equal); rows
-without a series or file belong to no file; a file of two series is one file in each; a header whose values are all null has no kind and is never retyped; headers
-that are equal after normalisation are one field; ties between kinds keep the kind of before.
+the table; of a row that arrives several times the last delivery counts, by ``received`` (rows without a number are one if
+their payloads are equal); rows without a series or file belong to no file; a file of two series is one file in each; a header
+whose values are all null has no kind and is never retyped; headers that are equal after normalisation are one field; ties
+between kinds keep the kind of before.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +35,9 @@ from colophon.plans.runtime import arrow_pass, cut_lineage
 # Spellings of truth values in sheets.
 TRUTH = {"yes": "true", "y": "true", "no": "false", "n": "false"}
 #: Slots of the value sketch of a field (least hash per slot).
-SKETCH = 16
+SKETCH = 64
+#: Range of the hashes in a sketch.
+SPAN = 1 << 63
 #: Cost of deleting or adding a field; a rename must cost less than two of these.
 EDIT_COST = 0.5
 
@@ -71,67 +77,124 @@ def signature(text: str) -> str:
     return TRUTH.get(low, low)
 
 
-def sheet_rows(dumps: DataFrame, series: str, file: str, at: str, row: str, payload: str) -> DataFrame:
-    """(series, file, at, row, place, payload): ``place`` names a row in its file, by its number or else by its payload."""
+def nested_keys(value, path: str = "") -> list[str]:
+    """Paths of the keys inside an object, at any depth."""
+    if not isinstance(value, dict):
+        return []
+    named = [(path + header_name(k), v) for k, v in value.items()]
+    return [x for name, v in named for x in (name, *nested_keys(v, name + "."))]
+
+
+def parsed(payload: str | None) -> dict[str, object]:
+    """Header name -> value of a row; of headers that are equal the first value that isn't null."""
+    try:
+        fields = json.loads(payload or "null")
+    except ValueError:
+        return {}
+    out: dict[str, object] = {}
+    for header, value in fields.items() if isinstance(fields, dict) else ():
+        name = header_name(header)
+        if out.get(name) is None:
+            out[name] = value
+    return out
+
+
+def cell_text(value) -> str | None:
+    """A value as text: the ``text`` of an object that has one, else its leaves."""
+    if value is None:
+        return None
+    if isinstance(value, dict) and isinstance(value.get("text"), str):
+        return value["text"]
+    return " ".join(leaves(value))
+
+
+def sheet_rows(dumps: DataFrame, series: str, file: str, at: str, row: str, payload: str, received: str | None = None) -> DataFrame:
+    """(series, file, place, at, row, payload): each row of a file once, its last delivery.
+
+    ``place`` names a row in its file, by its number or else by its payload. One shuffle, reduced on both sides.
+    """
     number = F.col(row).cast("long")
-    return dumps.select(
+    turn = F.col(received).cast("timestamp") if received and received in dumps.columns else F.lit(None).cast("timestamp")
+    named = dumps.select(
         F.col(series).alias("series"), F.col(file).alias("file"), F.col(at).cast("timestamp").alias("at"), number.alias("row"),
-        F.coalesce(number.cast("string"), F.concat(F.lit("?"), F.md5(F.coalesce(payload, F.lit(""))))).alias("place"), F.col(payload).alias("payload"),
+        F.coalesce(number.cast("string"), F.concat(F.lit("?"), F.md5(F.coalesce(payload, F.lit(""))))).alias("place"), F.col(payload).alias("payload"), turn.alias("turn"),
     ).where(F.col("series").isNotNull() & F.col("file").isNotNull())
+    last = named.groupBy("series", "file", "place").agg(F.max(F.struct("turn", "payload")).alias("m"), F.min("at").alias("at"), F.max("row").alias("row"))
+    return last.select("series", "file", "place", "at", "row", F.col("m.payload").alias("payload"))
 
 
-def cells(dumps: DataFrame, series: str, file: str, at: str, row: str, payload: str) -> DataFrame:
-    """One row per cell: series, file, at, row, place, header, kind, keys, whole, main, digits, value.
+def field_profiles(rows: DataFrame) -> DataFrame:
+    """Per file and header: values of each kind, nested keys, rows, mean length and sketch of the values; ``at`` is the file's time."""
+
+    def count(batch: list[dict]) -> Iterator[tuple]:
+        found: dict[tuple, list] = {}
+        for r in batch:
+            for name, value in parsed(r["payload"]).items():
+                kind = json_kind(value)
+                slot = found.setdefault((r["series"], r["file"], r["at"], name, kind), [0, 0, set(), [None] * SKETCH])
+                slot[0] += 1
+                if kind is None:
+                    continue
+                whole = signature("".join(leaves(value)))
+                slot[1] += len(whole)
+                slot[2].update(nested_keys(value))
+                h = xxhash.xxh64_intdigest(whole)
+                at, least = h % SKETCH, h >> 1
+                if slot[3][at] is None or least < slot[3][at]:
+                    slot[3][at] = least
+        for key, (n, chars, keys, mins) in found.items():
+            yield *key, n, chars, sorted(keys), mins
+
+    part = arrow_pass(rows, count, "series string, file string, at timestamp, header string, kind string, n long, chars long, keys array<string>, mins array<long>")
+    # a row per batch, file, header and kind: bounded numbers meet in a group
+    known = F.col("kind").isNotNull()
+    empty = F.array_repeat(F.lit(None).cast("long"), SKETCH)
+    return part.groupBy("series", "file", "header", "kind").agg(
+        F.min("at").alias("at"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.flatten(F.collect_list("keys")).alias("keys"), _merged(F.collect_list("mins"), empty).alias("mins")
+    ).groupBy("series", "file", "header").agg(
+        F.min("at").alias("at"), F.sum("n").alias("rows"), F.map_from_entries(F.collect_list(F.when(known, F.struct("kind", "n")))).alias("kinds"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))), ",").alias("keys"),
+        F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("n"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"),
+        _merged(F.collect_list("mins"), empty).alias("sketch"),
+    ).withColumn("length", F.try_divide("chars", "n"))
+
+
+def _merged(sketches: Column, empty: Column) -> Column:
+    """Least hash of each slot over several sketches."""
+    return F.aggregate(sketches, empty, lambda a, b: F.zip_with(a, b, lambda x, y: F.least(x, y)))
+
+
+def distinct_values(sketch: list[int | None]) -> float:
+    """Estimated number of different values, from the slots used or, where all are, from their least hashes."""
+    used = [x for x in sketch if x is not None]
+    if len(used) < len(sketch):
+        return -SKETCH * math.log(1 - len(used) / len(sketch)) if used else 0.0
+    return SKETCH * (SKETCH * SPAN / (sum(used) + 1) - 1)
+
+
+def wanted_cells(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(series, file, row, header, kind, whole, main, digits): the non-null cells of some headers (series, file, headers) of each file.
 
     ``whole``, ``main`` and ``digits`` are signatures of all leaves, of the longest leaf and of the digits.
     """
-    source = sheet_rows(dumps, series, file, at, row, payload)
 
-    def rows(batch: list[dict]) -> Iterator[tuple]:
+    def cells(batch: list[dict]) -> Iterator[tuple]:
         for r in batch:
-            try:
-                fields = json.loads(r["payload"] or "null")
-            except ValueError:
-                continue
-            if not isinstance(fields, dict):
-                continue
-            done: dict[str, object] = {}
-            for header, value in fields.items():
-                name = header_name(header)
-                if done.get(name) is None:
-                    done[name] = value
-            for name, value in done.items():
-                parts = leaves(value)
-                whole = signature("".join(parts))
-                main = signature(max(parts, key=len)) if parts else ""
-                keys = ",".join(sorted(map(header_name, value))) if isinstance(value, dict) else ""
-                text = None if value is None else value["text"] if isinstance(value, dict) and isinstance(value.get("text"), str) else " ".join(parts)
-                digits = "".join(c for c in whole if c.isdigit())
-                yield r["series"], r["file"], r["at"], r["row"], r["place"], name, json_kind(value), keys, whole, main, digits, text
-
-    schema = (
-        "series string, file string, at timestamp, row long, place string, header string, kind string, keys string, whole string, main string, digits string, value string"
-    )
-    return arrow_pass(source, rows, schema).dropDuplicates(["series", "file", "place", "header"])
+            fields = parsed(r["payload"])
+            for name in r["headers"]:
+                value = fields.get(name)
+                if value is not None:
+                    parts = leaves(value)
+                    whole = signature("".join(parts))
+                    yield r["series"], r["file"], r["row"], name, json_kind(value), whole, signature(max(parts, key=len)) if parts else "", "".join(c for c in whole if c.isdigit())
 
+    joined = rows.where("row is not null").join(wanted, ["series", "file"]).select("series", "file", "row", "payload", "headers")
+    return arrow_pass(joined, cells, "series string, file string, row long, header string, kind string, whole string, main string, digits string")
 
-def field_profiles(table: DataFrame) -> DataFrame:
-    """Per file and header: kind of most non-null values, keys of objects, mean length, value sketch."""
-    per = table.groupBy("series", "file", "header", "kind").agg(
-        F.count(F.lit(1)).alias("n"), F.max("keys").alias("keys"), F.sum(F.length("whole")).alias("chars"),
-        *[F.min(F.when(F.pmod(F.xxhash64("whole"), F.lit(SKETCH)) == i, F.xxhash64("whole"))).alias(f"s{i}") for i in range(SKETCH)],
-    )
-    return per.groupBy("series", "file", "header").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "n")))).alias("kinds"),
-        F.max("keys").alias("keys"),
-        F.try_divide(F.sum(F.when(F.col("kind").isNotNull(), F.col("chars"))), F.sum(F.when(F.col("kind").isNotNull(), F.col("n")))).alias("length"),
-        F.array(*[F.min(F.when(F.col("kind").isNotNull(), F.col(f"s{i}"))) for i in range(SKETCH)]).alias("sketch"),
-    )
 
-
-def file_pairs(table: DataFrame) -> DataFrame:
-    """(series, before, after, turn): consecutive files of a series by export time."""
-    files = table.groupBy("series", "file").agg(F.min("at").alias("at"))
+def file_pairs(profiles: DataFrame) -> DataFrame:
+    """(series, before, after, turn): consecutive files of a series by export time; files without any header are left out."""
+    files = profiles.groupBy("series", "file").agg(F.min("at").alias("at"))
     order = Window.partitionBy("series").orderBy("at", "file")
     return files.select(
         "series", F.lag("file").over(order).alias("before"), F.col("file").alias("after"), F.row_number().over(order).alias("turn")
@@ -148,12 +211,14 @@ def _agrees() -> Column:
     )
 
 
-def rename_evidence(table: DataFrame, pairs: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+def rename_evidence(rows: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
     """(series, after, header_before, header_after, both, same): agreement of gone and new fields over shared rows."""
-    a = gone.join(table.withColumnRenamed("file", "before"), ["series", "before", "header"]).where(F.col("kind").isNotNull()).select(
+    asked = gone.select("series", F.col("before").alias("file"), "header").unionAll(new.select("series", F.col("after").alias("file"), "header"))
+    table = cut_lineage(wanted_cells(rows, asked.groupBy("series", "file").agg(F.collect_set("header").alias("headers"))))
+    a = gone.join(table.withColumnRenamed("file", "before"), ["series", "before", "header"]).select(
         "series", "after", "row", F.col("header").alias("header_before"), *[F.col(c).alias(f"{c}_a") for c in ("kind", "whole", "main", "digits")]
     )
-    b = new.join(table.withColumnRenamed("file", "after"), ["series", "after", "header"]).where(F.col("kind").isNotNull()).select(
+    b = new.join(table.withColumnRenamed("file", "after"), ["series", "after", "header"]).select(
         "series", "after", "row", F.col("header").alias("header_after"), *[F.col(c).alias(f"{c}_b") for c in ("kind", "whole", "main", "digits")]
     )
     return a.join(b, ["series", "after", "row"]).groupBy("series", "after", "header_before", "header_after").agg(
@@ -262,11 +327,16 @@ def edit_script(before: list[dict], after: list[dict], evidence: dict[tuple[str,
 
 def schema_changes(
     dumps: DataFrame, series: str = "series_id", file: str = "file_id", at: str = "exported_at", row: str = "row_no", payload: str = "payload",
-    table: DataFrame | None = None,
+    received: str | None = "received_at",
 ) -> DataFrame:
-    """(series, file, turn, change_kind, header_before, header_after): one row per change against the file before."""
-    table = cut_lineage(cells(dumps, series, file, at, row, payload)) if table is None else table
-    pairs, profiles = cut_lineage(file_pairs(table)), cut_lineage(field_profiles(table))
+    """(series, file, turn, change_kind, header_before, header_after): one row per change against the file before it."""
+    rows = cut_lineage(sheet_rows(dumps, series, file, at, row, payload, received))
+    return profile_changes(rows, cut_lineage(field_profiles(rows)))
+
+
+def profile_changes(table: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The changes, from the rows and the profiles of their fields."""
+    pairs = cut_lineage(file_pairs(profiles))
     fields = F.struct("header", "kinds", "keys", "length", "sketch")
     old = pairs.join(profiles.withColumnRenamed("file", "before"), ["series", "before"]).select("series", "after", "header", fields.alias("old"))
     new = pairs.join(profiles.withColumnRenamed("file", "after"), ["series", "after"]).select("series", "after", "header", fields.alias("new"))
@@ -275,7 +345,9 @@ def schema_changes(
     )
     gone = both.where(F.col("new").isNull()).select("series", F.col("prior").alias("before"), "after", "header")
     come = both.where(F.col("old").isNull()).select("series", "after", "header")
-    evidence = rename_evidence(table, pairs, gone, come).groupBy("series", "after").agg(
+    # values are only compared where a file both lost and won headers
+    gone, come = gone.join(come.select("series", "after").distinct(), ["series", "after"], "left_semi"), come.join(gone.select("series", "after").distinct(), ["series", "after"], "left_semi")
+    evidence = rename_evidence(table, gone, come).groupBy("series", "after").agg(
         F.collect_list(F.struct("header_before", "header_after", "both", "same", "longest")).alias("evidence")
     )
     # per file pair: its headers only, a number that doesn't grow with the rows
@@ -322,7 +394,7 @@ def _walk(files: list[dict], columns: tuple[str, ...]) -> Iterator[tuple]:
         yield file, turn, h, local, anchors.get(local)
 
 
-def series_fields(changes: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+def series_fields(changes: DataFrame, profiles: DataFrame, columns: list[str]) -> DataFrame:
     """(series, file, turn, header, local, anchor): the field of each header of each file, numbered inside its series.
 
     Per series: the headers of its files and the renames, numbers that don't grow with the rows.
@@ -330,7 +402,7 @@ def series_fields(changes: DataFrame, table: DataFrame, columns: list[str]) -> D
     renames = changes.where("change_kind = 'renamed'").groupBy("series", "file").agg(
         F.collect_list(F.struct("header_before", "header_after")).alias("renames")
     )
-    files = table.groupBy("series", "file").agg(F.unix_micros(F.min("at")).alias("at"), F.collect_set("header").alias("headers"))
+    files = profiles.groupBy("series", "file").agg(F.unix_micros(F.min("at")).alias("at"), F.collect_set("header").alias("headers"))
     whole = files.join(renames, ["series", "file"], "left").groupBy("series").agg(
         F.collect_list(F.struct("file", "at", "headers", "renames")).alias("files")
     )
@@ -348,7 +420,7 @@ def values_alike(a: dict, b: dict) -> bool:
     """Whether two fields of different series can be one: values that repeat must be shared, others alike in length."""
     if not a["n"] or not b["n"]:
         return True
-    if any(f["n"] >= 2 * f["different"] for f in (a, b)):
+    if any(f["n"] >= 2 * distinct_values(f["sketch"]) for f in (a, b)):
         x, y = ({v for v in f["sketch"] if v is not None} for f in (a, b))
         return len(x & y) >= 0.25 * min(len(x), len(y))
     return min(a["length"], b["length"]) >= 0.5 * max(a["length"], b["length"])
@@ -374,7 +446,7 @@ def name_fields(fields: list[dict], votes: dict[str, dict[str, int]], targets: d
                     total[column] = total.get(column, 0) + n
             wanted = [c for c in sorted(total, key=lambda c: (-total[c], c)) if values_alike(f, targets[c])]
             # a column's own name isn't free for another field
-            wanted += [x for x in [*(roots[h] for h in names), *names] if x not in targets]
+            wanted += [x for x in [*(roots.get(h, h) for h in names), *names] if x not in targets]
         wanted += [f"{names[0]} ({i})" for i in range(2, len(fields) + 3)]
         near = turns | {t + 1 for t in turns} | {t - 1 for t in turns}
         out[f["local"]] = next(w for w in wanted if not any(near & other for other in taken.get(w, [])))
@@ -402,41 +474,41 @@ def name_roots(borne: list[tuple[str, str, int]], weight: dict[str, int], togeth
     return {h: root(h) for h in group}
 
 
-def field_lineage(changes: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+def field_lineage(changes: DataFrame, profiles: DataFrame, columns: list[str]) -> DataFrame:
     """(series, file, header, field): the consistent field of each header of each file.
 
     The scripts decide inside a series: a field is one, whatever its headers are called elsewhere. Names only match
     fields of different series. Only statistics of header names reach the driver.
     """
-    heads = cut_lineage(series_fields(changes, table, columns))
-    values = table.join(heads.select("series", "file", "header", "local", "anchor"), ["series", "file", "header"]).where(F.col("kind").isNotNull())
+    heads = cut_lineage(series_fields(changes, profiles, columns))
+    values = cut_lineage(profiles.select("series", "file", "header", "n", "chars", "sketch").join(heads.select("series", "file", "header", "local", "anchor"), ["series", "file", "header"]))
+    empty = F.array_repeat(F.lit(None).cast("long"), SKETCH)
     profile = [
-        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("whole").alias("different"), F.avg(F.length("whole")).alias("length"),
-        F.array(*[F.min(F.when(F.pmod(F.xxhash64("whole"), F.lit(SKETCH)) == i, F.xxhash64("whole"))) for i in range(SKETCH)]).alias("sketch"),
+        F.sum("n").alias("n"), F.coalesce(F.try_divide(F.sum("chars"), F.sum("n")), F.lit(0.0)).alias("length"), _merged(F.collect_list("sketch"), empty).alias("sketch"),
     ]
     targets = {r["anchor"]: r.asDict() for r in values.where(F.col("anchor").isNotNull()).groupBy("anchor").agg(*profile).collect()}
-    empty = {"n": 0, "different": 0, "length": 0.0, "sketch": []}
-    targets |= {c: empty for c in columns if c not in targets}
+    none = {"n": 0, "length": 0.0, "sketch": [None] * SKETCH}
+    targets |= {c: none for c in columns if c not in targets}
     names = cut_lineage(heads.select("series", "local", "anchor", "header").distinct())
     votes: dict[str, dict[str, int]] = {}
     for r in names.where(F.col("anchor").isNotNull()).groupBy("header", "anchor").agg(F.count(F.lit(1)).alias("n")).collect():
         votes.setdefault(r["header"], {})[r["anchor"]] = r["n"]
     free = names.where(F.col("anchor").isNull())
-    borne = free.join(free.withColumnRenamed("header", "other"), ["series", "local"]).where("header < other").groupBy("header", "other").agg(
+    borne = cut_lineage(free.join(free.withColumnRenamed("header", "other"), ["series", "local"]).where("header < other").groupBy("header", "other").agg(
         F.count(F.lit(1)).alias("n")
-    )
-    together = heads.select("series", "file", "header").join(heads.select("series", "file", F.col("header").alias("other")), ["series", "file"]).where(
-        "header < other"
-    ).select("header", "other").distinct()
-    weight = {r["header"]: r["n"] for r in table.groupBy("header").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ))
+    # only names that some field changed between can become one; their pairs, weights and meetings are what the driver sees
+    changed = borne.select(F.explode(F.array("header", "other")).alias("header")).distinct()
+    here = heads.select("series", "file", "header").join(changed, "header", "left_semi")
+    together = here.join(here.withColumnRenamed("header", "other"), ["series", "file"]).where("header < other").select("header", "other").distinct()
+    weight = {r["header"]: r["n"] for r in profiles.join(changed, "header", "left_semi").groupBy("header").agg(F.sum("rows").alias("n")).collect()}
     roots = name_roots([tuple(r) for r in borne.collect()], weight, {tuple(r) for r in together.collect()})
     fields = heads.groupBy("series", "local", "anchor").agg(F.collect_list(F.struct("turn", "header")).alias("heads")).join(
         values.groupBy("series", "local").agg(*profile), ["series", "local"], "left"
     )
     whole = fields.groupBy("series").agg(
         F.collect_list(
-            F.struct("local", "anchor", "heads", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("different", F.lit(0)).alias("different"),
-                     F.coalesce("length", F.lit(0.0)).alias("length"), F.coalesce("sketch", F.array().cast("array<long>")).alias("sketch"))
+            F.struct("local", "anchor", "heads", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("length", F.lit(0.0)).alias("length"), F.coalesce("sketch", empty).alias("sketch"))
         ).alias("fields")
     )
 
@@ -449,22 +521,34 @@ def field_lineage(changes: DataFrame, table: DataFrame, columns: list[str]) -> D
     return heads.join(named, ["series", "local"]).select("series", "file", "header", "field")
 
 
+def projections(lineage: DataFrame) -> DataFrame:
+    """(series, file, fields): the projection of each file, header to field."""
+    return lineage.groupBy("series", "file").agg(F.map_from_entries(F.collect_list(F.struct("header", "field"))).alias("fields"))
+
+
 def consistent_table(
     dumps: DataFrame, columns: list[str], series: str = "series_id", file: str = "file_id", at: str = "exported_at", row: str = "row_no",
-    payload: str = "payload",
+    payload: str = "payload", received: str | None = "received_at",
 ) -> DataFrame:
     """All rows of all files in one table: series_id, file_id, row_no, one string column per name of ``columns``, other_fields (JSON)."""
-    table = cut_lineage(cells(dumps, series, file, at, row, payload))
-    lineage = field_lineage(schema_changes(dumps, series, file, at, row, payload, table), table, columns)
-    mapped = table.join(lineage, ["series", "file", "header"])
-    pick = {c: F.max(F.when(F.col("field") == c, F.col("value"))).alias(re.sub(r"\W+", "_", c)) for c in columns}
-    rest = F.to_json(
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("field").isin(columns) & F.col("value").isNotNull(), F.struct("field", "value")))))
-    )
-    filled = mapped.groupBy("series", "file", "place").agg(*pick.values(), rest.alias("other_fields"))
-    # rows without any cell have no part in ``filled``
-    rows = sheet_rows(dumps, series, file, at, row, payload).groupBy("series", "file", "place").agg(F.max("row").alias("row_no"))
-    return rows.join(filled, ["series", "file", "place"], "left").select(
-        F.col("series").alias("series_id"), F.col("file").alias("file_id"), "row_no", *[re.sub(r"\W+", "_", c) for c in columns],
-        F.coalesce("other_fields", F.lit("{}")).alias("other_fields"),
-    )
+    rows = cut_lineage(sheet_rows(dumps, series, file, at, row, payload, received))
+    profiles = cut_lineage(field_profiles(rows))
+    compiled = projections(field_lineage(cut_lineage(profile_changes(rows, profiles)), profiles, columns))
+    place = {c: i for i, c in enumerate(columns)}
+    names = [re.sub(r"\W+", "_", c) for c in columns]
+
+    def project(batch: list[dict]) -> Iterator[tuple]:
+        for r in batch:
+            fields, out, rest = dict(r["fields"] or ()), [None] * len(columns), {}
+            for name, value in parsed(r["payload"]).items():
+                field, text = fields.get(name, name), cell_text(value)
+                if text is None:
+                    continue
+                if field in place:
+                    out[place[field]] = text
+                else:
+                    rest[field] = text
+            yield r["series"], r["file"], r["row"], *out, json.dumps(dict(sorted(rest.items())), ensure_ascii=False, separators=(",", ":"))
+
+    joined = rows.join(compiled, ["series", "file"], "left").select("series", "file", "row", "payload", "fields")
+    return arrow_pass(joined, project, "series_id string, file_id string, row_no long, " + ", ".join(f"{n} string" for n in names) + ", other_fields string")

@@ -1,6 +1,8 @@
+import itertools
 import json
+import random
 
-from colophon.operators.schema_drift import consistent_table
+from colophon.operators.schema_drift import assign, consistent_table, distinct_values, nested_keys, schema_changes
 
 COLUMNS = ["lable", "year"]
 
@@ -45,3 +47,41 @@ def test_no_row_is_lost(spark):
         ("A", 0, "G1-2"), ("A", 0, "G1-3"), ("A", 1, "G1-1"), ("A", 2, ""), ("A", 3, ""), ("A", 4, ""), ("A", 5, ""), ("B", 1, "G2-1"),
     ]
     assert {r["other_fields"] for r in table} == {"{}"}
+
+
+def test_changes_between_files(spark):
+    rows = [{"Lable": f"G{i}-1", "Citation  Content": f"a text of some length {i}", "score": i / 10, "old": "x", "n": 1, "meta": {"a": 1, "b": {"c": 2}}} for i in range(8)]
+    later = [{"label": r["Lable"], "citation content": r["Citation  Content"], "score": str(r["score"]), "new": [1], "n": 1, "meta": {"a": 1, "b": {"c": 2}}} for r in rows]
+    a = [(i, r) for i, r in enumerate(rows)]
+    b = [(i, r) for i, r in enumerate(later)]
+    found = {tuple(r)[1:] for r in schema_changes(dumps(spark, [("S", "f1", 1, a + a[:3]), ("S", "f2", 2, b)])).drop("turn").collect()}
+    assert found == {
+        ("f2", "renamed", "lable", "label"), ("f2", "retyped", "score", "score"), ("f2", "removed", "old", ""), ("f2", "added", "", "new"),
+    }
+    assert schema_changes(dumps(spark, [("S", "f1", 1, a)])).count() == 0
+
+
+def test_last_delivery_counts_whatever_the_order(spark):
+    rows = [("S", "f", "2024-01-01 00:00:00", 1, json.dumps({"lable": v}), t) for v, t in (("late", "2024-02-02 00:00:00"), ("early", "2024-02-01 00:00:00"), (None, None))]
+    table = consistent_table(spark.createDataFrame(rows, "series_id string, file_id string, exported_at string, row_no int, payload string, received_at string"), COLUMNS).collect()
+    assert [r["lable"] for r in table] == ["late"]
+
+
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], "series_id string, file_id string, exported_at string, row_no int, payload string")
+    assert consistent_table(empty, COLUMNS).count() == 0 and schema_changes(empty).count() == 0
+
+
+def test_nested_keys_sketches_and_assignment():
+    assert nested_keys({"A": {"b": 1}, "c": 2}) == ["a", "a.b", "c"] and nested_keys([1]) == []
+    draw = random.Random(1)
+    for n in (0, 5, 40, 3000):
+        sketch = [None] * 64
+        for i in range(n):
+            h = draw.getrandbits(64)
+            sketch[h % 64] = min(x for x in (sketch[h % 64], h >> 1) if x is not None)
+        assert abs(distinct_values(sketch) - n) <= 0.4 * n
+    for size in (1, 3, 5):
+        costs = [[draw.random() for _ in range(size)] for _ in range(size)]
+        best = min(sum(costs[i][p[i]] for i in range(size)) for p in itertools.permutations(range(size)))
+        assert abs(sum(costs[i][j] for i, j in enumerate(assign(costs))) - best) < 1e-9
