@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,14 +109,26 @@ def context(index: DataFrame, key: str = "doc_id", window: int = 3) -> DataFrame
     return index.withColumn("context", F.array_join(F.collect_list("sent").over(around), " "))
 
 
-def _name(surname: str, intended: bool) -> str:
+@lru_cache(4096)
+def _name(surname: str, intended: bool) -> re.Pattern:
     """Pattern of a surname as a whole word; a hyphen may be any dash, with space after it."""
     signs = {"-": r"[\-‐-―]\s*", "'": "['’]" if intended else "'"}
-    return rf"(?<![\w@./]){''.join(signs.get(ch) or re.escape(ch) for ch in surname.strip())}(?!\w)"
+    return re.compile(rf"(?<![\w@./]){''.join(signs.get(ch) or re.escape(ch) for ch in surname.strip())}(?!\w)", re.IGNORECASE)
 
 
-def mention_patterns(surname: str, year: int, intended: bool = False) -> list[re.Pattern]:
-    """Patterns of APA and Harvard mentions of a first author and year, upper or lower case.
+@lru_cache(512)
+def _tails(year: int) -> tuple[re.Pattern, ...]:
+    """What may follow the surname up to the year; it doesn't depend on the surname, so few patterns are compiled."""
+    person = r"[^\W\d_][\w’'‐-―-]*(?:\s[^\W\d_][\w’'‐-―-]*){0,3}?"
+    company = rf"(?:\s*,\s*{person}){{0,20}}\s*,?\s*(?:and\b|&)\s*{person}"
+    author = rf"(?:\s+et\s+al\b\.?|{company})?"
+    one = r"\d{4}[a-z]?"
+    years = rf"(?:{one}\s*[,;]\s*)*{year}[a-z]?(?!\w)"
+    return tuple(re.compile(author + f, re.IGNORECASE) for f in (rf"\s*\(\s*{years}[^()]{{0,80}}\)", rf"\s*,?\s*{years}"))
+
+
+def find_mentions(text: str, surname: str, year: int, intended: bool = False) -> list[tuple[int, int]]:
+    """(start, end) of the APA and Harvard mentions of a first author and year, upper or lower case.
 
     A mention is an author part and a year part:
 
@@ -125,36 +138,31 @@ def mention_patterns(surname: str, year: int, intended: bool = False) -> list[re
     In running text the years are in parentheses, with up to 80 signs of a locator behind them; inside
     parentheses, in lists of mentions and without any brackets, the years follow the author, with or without comma.
     """
-    person = r"[^\W\d_][\w’'‐-―-]*(?:\s[^\W\d_][\w’'‐-―-]*){0,3}?"
-    company = rf"(?:\s*,\s*{person}){{0,20}}\s*,?\s*(?:and\b|&)\s*{person}"
-    author = rf"{_name(surname, intended)}(?:\s+et\s+al\b\.?|{company})?"
-    one = r"\d{4}[a-z]?"
-    years = rf"(?:{one}\s*[,;]\s*)*{year}[a-z]?(?!\w)"
-    forms = (rf"{author}\s*\(\s*{years}[^()]{{0,80}}\)", rf"{author}\s*,?\s*{years}")
-    return [re.compile(f, re.IGNORECASE) for f in forms]
+    found = []
+    for name in _name(surname, intended).finditer(text):
+        ends = [m.end() for tail in _tails(year) if (m := tail.match(text, name.end()))]
+        if ends:
+            found.append((name.start(), ends[0]))
+    return found
 
 
 def mentions(body: DataFrame, targets: DataFrame, key: str = "doc_id", intended: bool = False) -> DataFrame:
     """(key, para_idx, sentence, ref_text, first_at): sentences that mention a target reference.
 
-    Joined by document, matched by pattern; patterns are compiled once per author and year and worker.
+    Joined by document, matched by pattern; the patterns of names and years are kept by each worker.
     Targets without surname match nothing.
     """
-    wanted = targets.where("surname <> '' and ref_year >= 0").select(key, "ref_text", "surname", "ref_year")
     # the surname without its hyphens and apostrophes must occur before any pattern is tried
     plain = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
-    pairs = body.join(wanted, key).where(F.contains(plain(F.col("text")), plain(F.col("surname")))).select(F.col(key).alias("k"), F.col("para_idx").cast("int").alias("para_idx"), "text", "ref_text", "surname", "ref_year")
+    wanted = targets.where("surname <> '' and ref_year >= 0").select(key, "ref_text", "surname", "ref_year", plain(F.col("surname")).alias("_name"))
+    found = body.select(key, "para_idx", "text", plain(F.col("text")).alias("_plain")).join(wanted, key).where(F.contains("_plain", "_name"))
+    pairs = found.select(F.col(key).alias("k"), F.col("para_idx").cast("int").alias("para_idx"), "text", "ref_text", "surname", "ref_year")
 
     def rows(batch: list[dict]) -> Iterator[tuple]:
-        compiled: dict[tuple, list[re.Pattern]] = {}
         for r in batch:
-            who = (r["surname"], r["ref_year"])
-            if who not in compiled:
-                compiled[who] = mention_patterns(*who, intended)
             first: dict[str, int] = {}
-            for pattern in compiled[who]:
-                for m in pattern.finditer(r["text"]):
-                    first.setdefault(enclosing_sentence(r["text"], m.start(), m.end(), intended), m.start())
+            for start, end in find_mentions(r["text"], r["surname"], r["ref_year"], intended):
+                first.setdefault(enclosing_sentence(r["text"], start, end, intended), start)
             for sentence, at in first.items():
                 yield r["k"], r["para_idx"], sentence, r["ref_text"], at
 

@@ -46,16 +46,16 @@ def test_sentences_by_the_plain_and_the_bounded_rule():
     "Smith and O’Leary (2020)", "Smith and Al-Omari, 2020",
 ])
 def test_each_form_of_a_mention(text):
-    assert any(p.search(text) for p in citations.mention_patterns("Smith", 2020))
+    assert citations.find_mentions(text, "Smith", 2020)
 
 
 @pytest.mark.parametrize("text", ["Smithson (2020)", "Smith (2019)", "Smith (20201)", "Smith found in 2020", "@Smith 2020", "Goldsmith, 2020", "Smith wrote (2020)"])
 def test_what_is_no_mention(text):
-    assert not any(p.search(text) for p in citations.mention_patterns("Smith", 2020))
+    assert not citations.find_mentions(text, "Smith", 2020)
 
 
 def test_hyphens_and_apostrophes_of_names():
-    hit = lambda name, text, **x: any(p.search(text) for p in citations.mention_patterns(name, 2020, **x))
+    hit = lambda name, text, **x: bool(citations.find_mentions(text, name, 2020, **x))
     assert hit("Jean-Luc", "Jean‐Luc (2020)") and hit("Jean-Luc", "Jean- Luc (2020)") and hit("Öström", "öström, 2020")
     assert not hit("O'Leary", "O’Leary (2020)") and hit("O'Leary", "O’Leary (2020)", intended=True)
 
