@@ -115,45 +115,54 @@ def _least_common(words: Column, share: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(terms - GRAM * F.greatest(F.lit(1.0), F.lit(share) * words) - 1e-9).cast("int"))
 
 
-def term_lists(texts: DataFrame) -> DataFrame:
-    """(tid, a, b, n, term, lo, hi): terms of texts (tid, norm, a, b) of four or more words.
+def term_lists(texts: DataFrame, places: bool = True) -> DataFrame:
+    """(tid, a, b, n, term[, lo, hi]): terms of texts (tid, norm, a, b) of four or more words; nothing is shuffled.
 
-    ``n`` counts words, ``lo`` and ``hi`` are the first and last place of the word triple in the text.
+    ``n`` counts words, ``lo`` and ``hi`` are the first and last place of the word triple in the text. The first occurrence
+    of a triple is named by the triple, the k-th by triple and k.
     """
     words = F.split(F.concat(F.lit("^ "), F.col("norm"), F.lit(" $")), " ")
     grams = F.expr(f"transform(sequence(0, size(v) - {GRAM}), i -> xxhash64({', '.join(f'v[i + {k}]' for k in range(GRAM))}))")
-    listed = texts.select("tid", "a", "b", words.alias("v")).where(F.size("v") >= 6).select(
-        "tid", "a", "b", (F.size("v") - 2).alias("n"), F.posexplode(grams).alias("at", "g")
+    listed = texts.select("tid", "a", "b", words.alias("v")).where(F.size("v") >= 6).select("tid", "a", "b", (F.size("v") - 2).alias("n"), grams.alias("g"))
+    # sorted, equal triples stand together: most have no neighbour of their own and need no search
+    ordered = listed.withColumn("s", F.expr("array_sort(transform(g, (x, i) -> struct(x as g, i as i)))")).withColumn("g", F.expr("transform(s, e -> e.g)"))
+    again = "i > 0 and g[i - 1] = e.g"
+    term = f"case when {again} then xxhash64(e.g, i - array_position(g, e.g) + 2) else e.g end as term"
+    shared = f"({again} or i < size(g) - 1 and g[i + 1] = e.g)"
+    range_ = (
+        f", case when {shared} then s[int(array_position(g, e.g)) - 1].i else e.i end as lo"
+        f", case when {shared} then s[size(g) - int(array_position(reverse(g), e.g))].i else e.i end as hi"
     )
-    per = listed.groupBy("tid", "a", "b", "n", "g").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-    one = per.where("tf = 1").select("tid", "a", "b", "n", F.col("g").alias("term"), "lo", "hi")
-    more = per.where("tf > 1").select(
-        "tid", "a", "b", "n", F.explode(F.expr("transform(sequence(1, tf), k -> xxhash64(g, k))")).alias("term"), "lo", "hi"
-    )
-    return one.unionAll(more)
+    parts = F.explode(F.expr(f"transform(s, (e, i) -> struct({term}{range_ if places else ''}))")).alias("t")
+    return ordered.select("tid", "a", "b", "n", parts).select("tid", "a", "b", "n", "t.*")
+
+
+def _used(terms: DataFrame) -> DataFrame:
+    """(term, df): terms that both sides use."""
+    return terms.groupBy("term").agg(F.max("a").alias("on_a"), F.max("b").alias("on_b"), F.count(F.lit(1)).alias("df")).where("on_a and on_b").select("term", "df")
 
 
-def _shared(terms: DataFrame, share: float) -> DataFrame:
-    """Terms that both sides use, of the texts that have enough of them; adds ``df`` and ``own``, their number in the text."""
-    used = terms.groupBy("term").agg(
-        F.max("a").alias("on_a"), F.max("b").alias("on_b"), F.count(F.lit(1)).alias("df")
-    ).where("on_a and on_b").select("term", "df")
-    met = terms.join(used, "term")
-    enough = met.groupBy("tid").agg(F.count(F.lit(1)).alias("own"), F.max("n").alias("words"))
-    enough = enough.where(F.col("own") >= _least_common(F.col("words"), share)).select("tid", "own")
-    return met.join(enough, "tid")
+def _enough(met: DataFrame, share: float) -> DataFrame:
+    """(tid, own): texts that have enough terms of both sides, and how many."""
+    own = met.groupBy("tid").agg(F.count(F.lit(1)).alias("own"), F.max("n").alias("words"))
+    return own.where(F.col("own") >= _least_common(F.col("words"), share)).select("tid", "own")
 
 
 def near_candidates(texts: DataFrame, share: float = WORD_SHARE) -> DataFrame:
     """(ta, tb): pairs of distinct ``texts`` (tid, norm, a, b), a on one side, b on the other, that may be alike."""
-    terms = cut_lineage(term_lists(texts))
-    for _ in range(ROUNDS):
-        met = cut_lineage(_shared(terms, share))
-        terms = met.select("tid", "a", "b", "n", "term", "lo", "hi")
+    # the first rounds move hashes only; each makes the terms of the texts that are left anew
+    for _ in range(ROUNDS - 1):
+        bare = term_lists(texts, places=False)
+        kept = _enough(bare.select("tid", "n", "term").join(_used(bare).select("term"), "term", "left_semi"), share)
+        texts = cut_lineage(texts.join(kept.select("tid"), "tid", "left_semi"))
+    terms = term_lists(texts)
+    met = terms.join(_used(terms), "term")
+    met = cut_lineage(met)
+    met = met.join(_enough(met, share), "tid")
     order = Window.partitionBy("tid").orderBy("df", "term")
     # terms of one side stand before the shared ones, so these fill what is left of the list
     size = F.col("own") - _least_common(F.col("n"), share) + DEPTH
-    lists = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
+    lists = cut_lineage(met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size))
     x = lists.where("a").select("term", F.col("tid").alias("ta"), F.col("n").alias("na"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
     y = lists.where("b").select("term", F.col("tid").alias("tb"), F.col("n").alias("nb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
     k = _changes(F.greatest("na", "nb"), share)
