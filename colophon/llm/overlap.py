@@ -49,8 +49,11 @@ ROUNDS = 2
 
 def comparable(text: Column) -> Column:
     """Text without case, white space and punctuation: words parted by single spaces, East Asian signs one by one."""
-    spread = F.regexp_replace(F.lower(text), r"([\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}\x{0e00}-\x{0e7f}])", " $1 ")
-    return F.trim(F.regexp_replace(spread, r"(?U)[^\p{L}\p{M}\p{N}]+", " "))
+    low = F.lower(text)
+    spread = F.when(F.octet_length(low) == F.length(low), low).otherwise(
+        F.regexp_replace(low, r"([\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}\x{0e00}-\x{0e7f}])", " $1 ")
+    )
+    return F.trim(F.regexp_replace(spread, r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
 def word_difference(a: list[str], b: list[str], most: int) -> int:
@@ -181,7 +184,7 @@ def cross_split_pairs(records: DataFrame, key: str, text: str, side: Column, sha
     base = records.select(F.col(key).cast("long").alias("rid"), side.alias("train"), comparable(F.col(text)).alias("norm")).where(
         F.col("norm").isNotNull() & (F.col("norm") != "") & F.col("train").isNotNull() & F.col("rid").isNotNull()
     )
-    base = base.select("rid", "train", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.reverse("norm")).alias("h2"))
+    base = cut_lineage(base.select("rid", "train", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.reverse("norm")).alias("h2")))
     texts = base.groupBy("h1", "h2").agg(
         F.min(F.struct("rid", "train", "norm")).alias("m"), F.max("train").alias("a"), F.max(~F.col("train")).alias("b")
     )
