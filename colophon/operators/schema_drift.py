@@ -22,7 +22,6 @@ between kinds keep the kind of before.
 from __future__ import annotations
 
 import json
-import math
 import re
 from collections.abc import Iterator
 
@@ -34,7 +33,7 @@ from colophon.plans.runtime import arrow_pass, cut_lineage
 
 # Spellings of truth values in sheets.
 TRUTH = {"yes": "true", "y": "true", "no": "false", "n": "false"}
-#: Slots of the value sketch of a field (least hash per slot).
+#: Hashes in the value sketch of a field: the least ones, fewer if it has fewer values.
 SKETCH = 64
 #: Range of the hashes in a sketch.
 SPAN = 1 << 63
@@ -131,45 +130,39 @@ def field_profiles(rows: DataFrame) -> DataFrame:
         for r in batch:
             for name, value in parsed(r["payload"]).items():
                 kind = json_kind(value)
-                slot = found.setdefault((r["series"], r["file"], r["at"], name, kind), [0, 0, set(), [None] * SKETCH])
+                slot = found.setdefault((r["series"], r["file"], r["at"], name, kind), [0, 0, set(), set()])
                 slot[0] += 1
                 if kind is None:
                     continue
                 whole = signature("".join(leaves(value)))
                 slot[1] += len(whole)
                 slot[2].update(nested_keys(value))
-                h = xxhash.xxh64_intdigest(whole)
-                at, least = h % SKETCH, h >> 1
-                if slot[3][at] is None or least < slot[3][at]:
-                    slot[3][at] = least
-        for key, (n, chars, keys, mins) in found.items():
-            yield *key, n, chars, sorted(keys), mins
-
-    part = arrow_pass(rows, count, "series string, file string, at timestamp, header string, kind string, n long, chars long, keys array<string>, mins array<long>")
-    # a row per batch, file, header and kind: bounded numbers meet in a group
+                slot[3].add(xxhash.xxh64_intdigest(whole) >> 1)
+                if len(slot[3]) > 8 * SKETCH:
+                    slot[3] = set(sorted(slot[3])[:SKETCH])
+        for key, (n, chars, keys, least) in found.items():
+            yield *key, n, chars, sorted(keys), sorted(least)[:SKETCH]
+
+    part = arrow_pass(rows, count, "series string, file string, at timestamp, header string, kind string, n long, chars long, keys array<string>, least array<long>")
+    # a row per batch, file, header and kind, each of bounded size
     known = F.col("kind").isNotNull()
-    empty = F.array_repeat(F.lit(None).cast("long"), SKETCH)
     return part.groupBy("series", "file", "header", "kind").agg(
-        F.min("at").alias("at"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.flatten(F.collect_list("keys")).alias("keys"), _merged(F.collect_list("mins"), empty).alias("mins")
+        F.min("at").alias("at"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"), _merged("least").alias("least")
     ).groupBy("series", "file", "header").agg(
         F.min("at").alias("at"), F.sum("n").alias("rows"), F.map_from_entries(F.collect_list(F.when(known, F.struct("kind", "n")))).alias("kinds"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))), ",").alias("keys"),
-        F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("n"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"),
-        _merged(F.collect_list("mins"), empty).alias("sketch"),
+        F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("n"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), _merged("least").alias("sketch"),
     ).withColumn("length", F.try_divide("chars", "n"))
 
 
-def _merged(sketches: Column, empty: Column) -> Column:
-    """Least hash of each slot over several sketches."""
-    return F.aggregate(sketches, empty, lambda a, b: F.zip_with(a, b, lambda x, y: F.least(x, y)))
+def _merged(sketch: str) -> Column:
+    """The least hashes over several sketches."""
+    return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(sketch)))), 1, SKETCH)
 
 
-def distinct_values(sketch: list[int | None]) -> float:
-    """Estimated number of different values, from the slots used or, where all are, from their least hashes."""
-    used = [x for x in sketch if x is not None]
-    if len(used) < len(sketch):
-        return -SKETCH * math.log(1 - len(used) / len(sketch)) if used else 0.0
-    return SKETCH * (SKETCH * SPAN / (sum(used) + 1) - 1)
+def distinct_values(sketch: list[int]) -> float:
+    """Number of different values: exact below SKETCH, else estimated from the greatest of the least hashes."""
+    return float(len(sketch)) if len(sketch) < SKETCH else (SKETCH - 1) * SPAN / sketch[-1]
 
 
 def wanted_cells(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -255,7 +248,7 @@ def rename_cost(a: dict, b: dict, evidence: tuple[int, int, int] | None) -> floa
         # one short value that agrees may do so by chance
         doubt = 0.6 if both == 1 and longest < 6 else 0.25 if both <= 2 and longest < 3 else 0.0
         return (1 - share) + doubt * (1 - name) + subtree
-    sketch_a, sketch_b = ({x for x in f["sketch"] or () if x is not None} for f in (a, b))
+    sketch_a, sketch_b = (set(f["sketch"] or ()) for f in (a, b))
     shared = len(sketch_a & sketch_b) / max(1, min(len(sketch_a), len(sketch_b)))
     size = min(a["length"] or 0, b["length"] or 0) / max(a["length"] or 1, b["length"] or 1, 1)
     kind = main_kind(a["kinds"]) == main_kind(b["kinds"])
@@ -421,7 +414,7 @@ def values_alike(a: dict, b: dict) -> bool:
     if not a["n"] or not b["n"]:
         return True
     if any(f["n"] >= 2 * distinct_values(f["sketch"]) for f in (a, b)):
-        x, y = ({v for v in f["sketch"] if v is not None} for f in (a, b))
+        x, y = (set(f["sketch"]) for f in (a, b))
         return len(x & y) >= 0.25 * min(len(x), len(y))
     return min(a["length"], b["length"]) >= 0.5 * max(a["length"], b["length"])
 
@@ -482,12 +475,11 @@ def field_lineage(changes: DataFrame, profiles: DataFrame, columns: list[str]) -
     """
     heads = cut_lineage(series_fields(changes, profiles, columns))
     values = cut_lineage(profiles.select("series", "file", "header", "n", "chars", "sketch").join(heads.select("series", "file", "header", "local", "anchor"), ["series", "file", "header"]))
-    empty = F.array_repeat(F.lit(None).cast("long"), SKETCH)
     profile = [
-        F.sum("n").alias("n"), F.coalesce(F.try_divide(F.sum("chars"), F.sum("n")), F.lit(0.0)).alias("length"), _merged(F.collect_list("sketch"), empty).alias("sketch"),
+        F.sum("n").alias("n"), F.coalesce(F.try_divide(F.sum("chars"), F.sum("n")), F.lit(0.0)).alias("length"), _merged("sketch").alias("sketch"),
     ]
     targets = {r["anchor"]: r.asDict() for r in values.where(F.col("anchor").isNotNull()).groupBy("anchor").agg(*profile).collect()}
-    none = {"n": 0, "length": 0.0, "sketch": [None] * SKETCH}
+    none = {"n": 0, "length": 0.0, "sketch": []}
     targets |= {c: none for c in columns if c not in targets}
     names = cut_lineage(heads.select("series", "local", "anchor", "header").distinct())
     votes: dict[str, dict[str, int]] = {}
@@ -508,7 +500,7 @@ def field_lineage(changes: DataFrame, profiles: DataFrame, columns: list[str]) -
     )
     whole = fields.groupBy("series").agg(
         F.collect_list(
-            F.struct("local", "anchor", "heads", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("length", F.lit(0.0)).alias("length"), F.coalesce("sketch", empty).alias("sketch"))
+            F.struct("local", "anchor", "heads", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("length", F.lit(0.0)).alias("length"), F.coalesce("sketch", F.array().cast("array<long>")).alias("sketch"))
         ).alias("fields")
     )
 
