@@ -3,16 +3,12 @@
 from __future__ import annotations
 
 import argparse
-import importlib.util
+from collections.abc import Callable
 
 
-def main() -> None:
-    from colophon.plans import catalog
-
-    found = catalog.queries()
-    if importlib.util.find_spec("colophon.llm"):
-        found |= importlib.import_module("colophon.llm.queries").queries()
-    parser = argparse.ArgumentParser(prog="colophon", description=__doc__)
+def run(found: dict[str, Callable], name: str) -> None:
+    """Runs one of the queries by the arguments of the command line."""
+    parser = argparse.ArgumentParser(prog=name, description="Runs a query and writes Parquet; without arguments lists the queries.")
     parser.add_argument("query", nargs="?", choices=sorted(found))
     parser.add_argument("data", nargs="?", help="folder of the Parquet tables")
     parser.add_argument("out", nargs="?", help="folder of the result")
@@ -25,9 +21,11 @@ def main() -> None:
         parser.error("data and out are needed")
     from pyspark.sql import SparkSession
 
-    spark = SparkSession.builder.appName(f"colophon {given.query}").getOrCreate()
+    spark = SparkSession.builder.appName(f"{name} {given.query}").getOrCreate()
     found[given.query](spark, given.data).write.mode("overwrite" if given.overwrite else "errorifexists").parquet(given.out)
 
 
 if __name__ == "__main__":
-    main()
+    from colophon.plans import catalog
+
+    run(catalog.queries(), "colophon")
