@@ -202,7 +202,31 @@ _LINKED = r"""lk as (select *, regexp_matches(sent, '(?i)^\W*(?:however|moreover
 lc as (select doc_id, sent_pos, sent, concat_ws(' ', case when l then lag(sent) over w end, sent, case when lead(l) over w then lead(sent) over w end) as ctx from lk window w as (partition by doc_id order by sent_pos))
 """
 
+_SPACED = r"(?i)^\s*" + r"\s*[\W_]*".join("abstract") + r"\s*:?\s*$"
+_WAYS = ("inline", "after", "loose")
+
+
+def _collected_sql(way: str) -> str:
+    """Lines of one way from its first to before its stop line, joined; the first one only for the inline way."""
+    inside = f"line_no > from_{way} and (to_{way} is null or line_no < to_{way})"
+    kept = rf"not regexp_matches(line, '^[-=_·•\x{{2500}}\x{{2014}}\x{{2015}}\x{{2212}}\s]+$') and {inside}" if way == "after" else inside
+    piece = f"case when {kept} then {_hyphen_sql('line')} end"
+    if way == "inline":
+        head = rf"nullif(trim({_hyphen_sql('regexp_replace(line, ' + chr(39) + '(?i)^' + chr(92) + 's*abstract' + chr(92) + 's*:?' + chr(92) + 's*' + chr(39) + ', ' + chr(39) * 2 + ')')}), '')"
+        piece = f"case when line_no = from_inline then {head} else {piece} end"
+    return f"nullif(trim(string_agg({piece}, ' ' order by line_no)), '') as {way}"
+
+
+_ABSTRACTS = LINES + rf""", ab as (select doc_id, line_no, {squeeze_sql(_plain_sql('line'))} as line from ln),
+fl as (select *, regexp_matches(line, '(?i)^\s*abstract\s*:?\s*') as is_inline, lower(line) = 'abstract' or regexp_matches(line, '{_SPACED}') as is_after,
+  contains(lower(line), 'abstract') or regexp_matches(line, '{_SPACED}') as is_loose, {_STOP} as stop from ab where line <> ''),
+fr as (select *, {', '.join(f'min(line_no) filter (is_{w}) over (partition by doc_id) as from_{w}' for w in _WAYS)} from fl),
+st as (select *, {', '.join(f'min(line_no) filter (stop and line_no > from_{w}) over (partition by doc_id) as to_{w}' for w in _WAYS)} from fr),
+pc as (select doc_id, {', '.join(_collected_sql(w) for w in _WAYS)} from st group by doc_id)
+select doc_id, coalesce(inline, after, loose, '') as abstract from pc"""
+
 ORACLE = {
+    "abstract_extract": _ABSTRACTS,
     "normalize_text": _digest_sql(_plain_sql("text")),
     "clean_reference": f"select distinct self_cited_article, {squeeze_sql(_plain_sql('self_cited_article'))} as cleaned from annotation_rows",
     "clean_context": _digest_sql(_context_sql("text")),
